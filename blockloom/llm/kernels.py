@@ -124,6 +124,14 @@ def window_hashes(hashed: np.ndarray, first: np.ndarray, k: int, which: int = 0)
     return mix(total[at]), at, np.repeat(np.arange(len(counts)), counts)[at]
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The different values, ascending."""
+    values = np.sort(values)
+    new = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=new[1:])
+    return values[new]
+
+
 def covered(n: int, at: np.ndarray, k: int) -> np.ndarray:
     """Which of n places lie in one of the runs of k places that start at ``at``."""
     change = np.zeros(n + 1, np.int32)
