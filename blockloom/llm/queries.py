@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockloom.llm import compression_classifier, decontamination, html_extraction, license_scan, packing, quality_rules, substring_dedup, warc
+from blockloom.llm import compression_classifier, decontamination, html_extraction, license_scan, near_dedup, packing, quality_rules, substring_dedup, suffix_dedup, warc
 from blockloom.llm.oracles import ORACLE
 from blockloom.llm.shared import table
 
@@ -28,6 +28,11 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"), length=200)
+    return done.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc.round_trip(table(spark, sf_dir, "pages"), min_revisit_bytes=0)
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -51,11 +56,16 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048, end_id=0, ids=False)
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"), shingle=4, percent=80)
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(license_scan.document_paths(table(spark, sf_dir, "documents")), threshold=0.8)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_substring_dedup, op4_warc, op5_quality_rules, op6_html_extraction, op7_compression_classifier, op8_best_fit_packing, op10_license_scan)
-}
+    f.__name__: f
+    for f in (op1_decontamination, op2_substring_dedup, op3_suffix_array_dedup, op4_warc, op5_quality_rules, op6_html_extraction, op7_compression_classifier, op8_best_fit_packing, op9_minhash_near_dedup, op10_license_scan)
+}
 ORACLE_SQL: dict[str, str] = {k: v for k, v in ORACLE.items() if k in QUERIES}
