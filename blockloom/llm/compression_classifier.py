@@ -21,7 +21,7 @@ TRAIN_ROWS = 2_000
 TRAIN_BYTES = 8 << 20
 """Bytes of text of each class that train the model, at most; a text over the rest is left out."""
 DICTIONARY_BYTES = 110_000
-PIECE_BYTES = 1_024
+PIECE_BYTES = 512
 LEVEL = 3
 
 
