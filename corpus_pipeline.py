@@ -23,7 +23,7 @@ from blockloom.llm.queries import tokenizer_path
 from blockloom.llm.shared import table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-REJECT_BELOW = 0.3
+REJECT_BELOW = 0.5
 MAX_COVERAGE = 0.5
 BROADCAST_IDS = 500_000
 """Ids that near-dedup drops, at most, which are broadcast; more are joined by shuffle."""
