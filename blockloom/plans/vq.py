@@ -62,10 +62,11 @@ def quantise(blocks: DataFrame, codebook: np.ndarray, dims: int, th: float | Non
     return layout.skip_mask(out, -1.0 if th is None else th)
 
 
-def fit_stage(blocks: DataFrame, level: int, position: int, k: int, dims: int, lagrange: float, frames: int, rule: rd.RdRule = rd.SPATIAL, sizes=aggregates.doubling_prefixes) -> Stage:
+def fit_stage(blocks: DataFrame, level: int, position: int, k: int, dims: int, lagrange: float, frames: int, rule: rd.RdRule = rd.SPATIAL, sizes=aggregates.doubling_prefixes, rounds: int = 300) -> Stage:
     """A codebook of k words, its nested prefixes by gain, and each one's best skip threshold."""
-    short = blocks.withColumn("vec", layout.prefix("vec", dims)).withColumn("_key", F.xxhash64("frame_id", "bi", "bj"))
-    full = cluster.fit_codebook(short, k, "_key")
+    short = blocks.withColumn("vec", layout.prefix("vec", dims)).withColumn("_key", F.xxhash64("frame_id", "bi", "bj")).persist()
+    full = cluster.fit_codebook(short, k, "_key", rounds=rounds)
+    short.unpersist()
     labelled = quantise(blocks, full, dims)
     ranks = [r.cid for r in aggregates.gain_rank(labelled, len(full)).orderBy("rank").collect()]  # k rows
     books = [full[ranks[:n]] for n in sizes(len(full)) if n < len(full)] + [full]
@@ -82,7 +83,7 @@ def encode_stage(blocks: DataFrame, stage: Stage, lagrange: float, frames: int,
     real_mask codes the mask with the adaptive binary coder in place of the estimate."""
     best, chosen = None, None
     for number, book in enumerate(stage.codebooks):
-        quantised = quantise(blocks, book, stage.dims)
+        quantised = quantise(blocks, book, stage.dims).persist()
         top = rd.best(rd.rd_grid(quantised, len(book), frames, lagrange, stage.level, rule)).first()
         if best is None or top.cost < best["cost"]:
             best, chosen = {"codebook": number, **top.asDict()}, layout.skip_mask(quantised, top.th)
@@ -104,13 +105,14 @@ def fit_plain(frames: DataFrame, win: int, k: tuple[int, ...], lagrange: float,
     config = ResolutionConfig(0, (win,), 0, lagrange)
     model = Model(config, None)
     for position, size in enumerate(k):
+        blocks = blocks.persist()
         stage = fit_stage(blocks, level, position, size, -1, lagrange, n, rd.PLAIN, aggregates.fixed_prefixes)
         model.stages.append(stage)
         blocks = rest_of(encode_stage(blocks, stage, lagrange, n, rd.PLAIN)[0])
     return model
 
 
-def fit(frames: DataFrame, config: ResolutionConfig) -> Model:
+def fit(frames: DataFrame, config: ResolutionConfig, rounds: int = 300) -> Model:
     """With channel-wise transforms: levels from the coarsest, each with its positions in turn."""
     n = frames.count()
     transform = linear.channel_fit(frames, config.windows, config.transform_split)
@@ -119,7 +121,8 @@ def fit(frames: DataFrame, config: ResolutionConfig) -> Model:
     for level in range(len(config.windows) - 1, -1, -1):
         blocks = coeffs.where(F.col("level") == level).drop("level")
         for position, (k, dims) in enumerate(zip(config.levels[level].clusters, config.levels[level].dims)):
-            stage = fit_stage(blocks, level, position, k, dims, config.lagrange, n)
+            blocks = blocks.persist()  # every round of every stage reads them
+            stage = fit_stage(blocks, level, position, k, dims, config.lagrange, n, rounds=rounds)
             model.stages.append(stage)
             blocks = rest_of(encode_stage(blocks, stage, config.lagrange, n)[0])
     return model
