@@ -102,7 +102,7 @@ def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_
     own = own.groupBy("_key").agg(F.min(F.struct((-F.col("score")).alias("minus"), "license")).alias("b")).select("_key", F.col("b.license").alias("own_license"), (-F.col("b.minus")).alias("own_score"))
     own = written(own, "license-lines")
     path = F.col("_key.path")
-    base, above = F.substring_index(path, "/", -1), F.when(F.instr(path, "/") > 0, F.expr("substring(_key.path, 1, length(_key.path) - length(substring_index(_key.path, '/', -1)) - 1)")).otherwise(F.lit(""))
+    base, above = F.substring_index(path, "/", -1), F.when(F.instr(path, "/") > 0, F.expr("substring(_key.path, 1, length(_key.path) - length(substring_index(_key.path, '/', -1)) - 1)")).when(path.isNotNull(), F.lit(""))
     declared = own.where(base.rlike(license_names)).groupBy(above.alias("dir")).agg(F.min(F.struct((-F.col("own_score")).alias("minus"), "own_license")).alias("b")).select("dir", F.col("b.own_license").alias("dir_license"))
     keys = rows.select("_key").distinct().join(own, "_key", "left")
     # Directories are few beside files: each distinct one looks up its ancestors once.

@@ -275,5 +275,5 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         comp = components(edges.unionByName(last))
     per_class = classes.select("print", "node").join(comp, "node", "left").select("print", F.coalesce("comp", "node").alias("comp"))
     rows = sketched.select("_id", "n_shingles", "print").join(per_class, "print", "left")
-    component = F.coalesce("comp", "_id")
+    component = F.when(F.col("_id").isNotNull(), F.coalesce("comp", "_id"))
     return rows.select(F.col("_id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("_id"), F.lit(True)).alias("kept"))
