@@ -244,4 +244,4 @@ def spatial_stages(frames: DataFrame, windows: tuple[int, ...], k: int, threshol
 def frames_from_arrays(spark, images: dict[int, np.ndarray]) -> DataFrame:
     """Small sets of images as frames."""
     table = pa.Table.from_batches([layout.frame_batch(sorted(images.items()))])
-    return spark.createDataFrame(table.to_pandas(), FRAMES)
+    return spark.createDataFrame(table, FRAMES)
