@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from blockloom.llm.shared import two_columns, written
 
 CAPACITY = 2_048
-CACHED_WORDS = 400_000
-"""Words whose ids a Python worker keeps; beyond that it starts anew."""
+CACHED_WORDS = 500_000
+"""Words of one generation whose ids a Python worker keeps; it keeps two."""
 
 Pattern = tuple[tuple[int, ...], int]
 
@@ -170,20 +170,29 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 4_000, k
 
 
 class _WordIds(dict):
-    """Ids of white-space-free words as little-endian bytes; words of a text are encoded on their own."""
+    """Ids of white-space-free words as little-endian bytes; words of a text are encoded on their own.
+
+    Two generations of words are kept: what was met since the last turn survives the next one.  The
+    tokenizer lower-cases and parts a word from the mark that ends it, so neither form is kept twice."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__({"": b""})
-        self.tokenizer = Tokenizer.from_file(path)
+        super().__init__()
+        self.tokenizer, self.older = Tokenizer.from_file(path), {"": b""}
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(word) > 1 and word[-1] in ".," and word[-2].isalpha() and len(word[-2].lower()) == 1:
+            return self[word[:-1]] + self[word[-1]]
+        if word.isascii() and word.isalpha() and not word.islower():
+            return self[word.lower()]
+        ids = self.older.get(word)
+        if ids is None:
+            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         if len(word) <= 64:
-            if len(self) > CACHED_WORDS:
+            if len(self) >= CACHED_WORDS:
+                self.older = dict(self)
                 self.clear()
-                self[""] = b""
             self[word] = ids
         return ids
 
