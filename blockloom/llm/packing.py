@@ -169,17 +169,37 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 4_000, k
     return sorted(best, reverse=True)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable ones for themselves,
+    the others for the next free ones from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
 class _WordIds(dict):
     """Ids of white-space-free words as little-endian bytes; words of a text are encoded on their own.
 
     Two generations of words are kept: what was met since the last turn survives the next one.  The
-    tokenizer lower-cases and parts a word from the mark that ends it, so neither form is kept twice."""
+    tokenizer lower-cases and parts a word from the mark that ends it, so neither form is kept twice;
+    words of Latin letters alone go straight to its merges.  A tokenizer that does otherwise on the
+    probes gets whole texts."""
+
+    PROBES = ("The, word. and THE É, é naïve Straße", "don't 'S 12,3 x<|y a.b ,. \u2019re\n ß")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer, self.older = Tokenizer.from_file(path), {"": b""}
+        self.merges, self.letters = self.tokenizer.model.tokenize, str.maketrans({chr(b): c for b, c in _byte_letters().items()})
+        try:
+            self.by_word = all(self._split(p) == self._whole(p) for p in self.PROBES)
+        except Exception:  # a model without merges
+            self.by_word = False
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
         if len(word) > 1 and word[-1] in ".," and word[-2].isalpha() and len(word[-2].lower()) == 1:
@@ -188,7 +208,11 @@ class _WordIds(dict):
             return self[word.lower()]
         ids = self.older.get(word)
         if ids is None:
-            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+            if word.isalpha() and (word.isascii() or max(word) < "\u0100"):
+                raw = word.lower().encode().decode("latin-1").translate(self.letters)
+                ids = np.array([t.id for t in self.merges(raw)], "<u4").tobytes()
+            else:
+                ids = self._whole(word)
         if len(word) <= 64:
             if len(self) >= CACHED_WORDS:
                 self.older = dict(self)
@@ -196,9 +220,12 @@ class _WordIds(dict):
             self[word] = ids
         return ids
 
-    def encode(self, text: str) -> bytes:
+    def _split(self, text: str) -> bytes:
         return b"".join([self[w] for w in text.replace("\n", " ").split(" ")])
 
+    def encode(self, text: str) -> bytes:
+        return self._split(text) if self.by_word else self._whole(text)
+
 
 _ENCODERS: dict[str, _WordIds] = {}
 
