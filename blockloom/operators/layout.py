@@ -150,13 +150,17 @@ def residual(a: Column, b: Column) -> Column:
     return F.transform(a, lambda x, i: x - F.coalesce(F.get(b, i), F.lit(0.0)))
 
 
-def mean_square(v: Column) -> Column:
-    return F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x) / F.size(v)
+def mean_square(v: Column, area: int | None = None) -> Column:
+    """Squares summed and divided by the width, or by area."""
+    return F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x) / (F.size(v) if area is None else F.lit(area))
 
 
-def distortions(df: DataFrame, x: str = "vec", ix: str = "ivec") -> DataFrame:
-    """mse, omse and dmse = omse - mse of each block and its reconstruction."""
-    out = df.withColumn("mse", mean_square(F.zip_with(x, ix, lambda a, b: a - b))).withColumn("omse", mean_square(F.col(x)))
+def distortions(df: DataFrame, x: str = "vec", ix: str = "ivec", area: int | None = None) -> DataFrame:
+    """mse, omse and dmse = omse - mse of each block and its reconstruction.
+
+    Of coefficients of an orthonormal transform, area is the number of values of the frame a block
+    stands for: energies are the same in both domains, so that gives the frame's own mean squares."""
+    out = df.withColumn("mse", mean_square(F.zip_with(x, ix, lambda a, b: a - b), area)).withColumn("omse", mean_square(F.col(x), area))
     return out.withColumn("dmse", F.col("omse") - F.col("mse"))
 
 

@@ -7,6 +7,7 @@ the rest.  Stages run from the coarsest level to the finest, resolutions from th
 from __future__ import annotations
 
 import json
+import os
 from dataclasses import dataclass, field
 from itertools import pairwise
 
@@ -51,39 +52,39 @@ class Model:
         return cls(config, transform, [Stage(a, b, c, tuple(np.array(x) for x in d), tuple(e)) for a, b, c, d, e in raw["stages"]])
 
 
-def quantise(blocks: DataFrame, codebook: np.ndarray, dims: int, th: float | None = None) -> DataFrame:
+def quantise(blocks: DataFrame, codebook: np.ndarray, dims: int, th: float | None = None, area: int | None = None) -> DataFrame:
     """Blocks with label, ivec, mse, omse, dmse and coded: nearest codeword, decoded and masked."""
     n = codebook.shape[1]
     labelled = cluster.assign(blocks.drop("label", "d2"), codebook, "vec", n if dims < 0 else min(dims, n))
     decoded = cluster.decode(labelled, cluster.codebook_frame(blocks, codebook))
     width = F.size("vec")
     wide = decoded.withColumn("ivec", F.concat("ivec", F.array_repeat(F.lit(0.0), width - n)))
-    out = layout.distortions(wide)
+    out = layout.distortions(wide, area=area)
     return layout.skip_mask(out, -1.0 if th is None else th)
 
 
-def fit_stage(blocks: DataFrame, level: int, position: int, k: int, dims: int, lagrange: float, frames: int, rule: rd.RdRule = rd.SPATIAL, sizes=aggregates.doubling_prefixes, rounds: int = 300) -> Stage:
+def fit_stage(blocks: DataFrame, level: int, position: int, k: int, dims: int, lagrange: float, frames: int, rule: rd.RdRule = rd.SPATIAL, sizes=aggregates.doubling_prefixes, rounds: int = 300, area: int | None = None) -> Stage:
     """A codebook of k words, its nested prefixes by gain, and each one's best skip threshold."""
     short = blocks.withColumn("vec", layout.prefix("vec", dims)).withColumn("_key", F.xxhash64("frame_id", "bi", "bj")).persist()
     full = cluster.fit_codebook(short, k, "_key", rounds=rounds)
     short.unpersist()
-    labelled = quantise(blocks, full, dims)
+    labelled = quantise(blocks, full, dims, area=area)
     ranks = [r.cid for r in aggregates.gain_rank(labelled, len(full)).orderBy("rank").collect()]  # k rows
     books = [full[ranks[:n]] for n in sizes(len(full)) if n < len(full)] + [full]
     thresholds = []
     for book in books:
-        grid = rd.rd_grid(quantise(blocks, book, dims), len(book), frames, lagrange, level, rule)
+        grid = rd.rd_grid(quantise(blocks, book, dims, area=area), len(book), frames, lagrange, level, rule)
         thresholds.append(float(rd.best(grid).first().th))
     return Stage(level, position, dims, tuple(books), tuple(thresholds))
 
 
-def encode_stage(blocks: DataFrame, stage: Stage, lagrange: float, frames: int, rule: rd.RdRule = rd.SPATIAL, real_mask: bool = False) -> tuple[DataFrame, dict]:
+def encode_stage(blocks: DataFrame, stage: Stage, lagrange: float, frames: int, rule: rd.RdRule = rd.SPATIAL, real_mask: bool = False, area: int | None = None) -> tuple[DataFrame, dict]:
     """The cheapest codebook and threshold for these blocks: coded blocks and what the choice costs.
 
     real_mask codes the mask with the adaptive binary coder in place of the estimate."""
     best, chosen = None, None
     for number, book in enumerate(stage.codebooks):
-        quantised = quantise(blocks, book, stage.dims).persist()
+        quantised = quantise(blocks, book, stage.dims, area=area).persist()
         top = rd.best(rd.rd_grid(quantised, len(book), frames, lagrange, stage.level, rule)).first()
         if best is None or top.cost < best["cost"]:
             best, chosen = {"codebook": number, **top.asDict()}, layout.skip_mask(quantised, top.th)
@@ -112,34 +113,48 @@ def fit_plain(frames: DataFrame, win: int, k: tuple[int, ...], lagrange: float,
     return model
 
 
-def fit(frames: DataFrame, config: ResolutionConfig, rounds: int = 300) -> Model:
-    """With channel-wise transforms: levels from the coarsest, each with its positions in turn."""
+def area_of(config: ResolutionConfig, level: int, channels: int) -> int:
+    """Values of the frame that one block of a level stands for."""
+    return int(np.prod(config.windows[: level + 1])) ** 2 * channels
+
+
+def fit(frames: DataFrame, config: ResolutionConfig, rounds: int = 300, path: str | None = None) -> Model:
+    """With channel-wise transforms: levels from the coarsest, each with its positions in turn.
+
+    With a path the model is saved there after every stage, and stages found there are not fitted again."""
     n = frames.count()
-    transform = linear.channel_fit(frames, config.windows, config.transform_split)
-    coeffs = linear.channel_transform(frames, transform)
-    model = Model(config, transform)
+    model = Model.load(path, config) if path and os.path.exists(path) else Model(config, linear.channel_fit(frames, config.windows, config.transform_split))
+    known = {(s.level, s.position): s for s in model.stages}
+    coeffs = linear.channel_transform(frames, model.transform)
     for level in range(len(config.windows) - 1, -1, -1):
+        area = area_of(config, level, model.transform.channels)
         blocks = coeffs.where(F.col("level") == level).drop("level")
         for position, (k, dims) in enumerate(zip(config.levels[level].clusters, config.levels[level].dims)):
             blocks = blocks.persist()  # every round of every stage reads them
-            stage = fit_stage(blocks, level, position, k, dims, config.lagrange, n, rounds=rounds)
-            model.stages.append(stage)
-            blocks = rest_of(encode_stage(blocks, stage, config.lagrange, n)[0])
+            stage = known.get((level, position))
+            if stage is None:
+                stage = fit_stage(blocks, level, position, k, dims, config.lagrange, n, rounds=rounds, area=area)
+                model.stages.append(stage)
+                if path:
+                    model.save(path)
+            blocks = rest_of(encode_stage(blocks, stage, config.lagrange, n, area=area)[0])
     return model
 
 
-def encode(frames: DataFrame, model: Model, real_mask: bool = False) -> tuple[DataFrame, list[dict]]:
-    """(frame_id, level, bi, bj, vec) of what all stages coded, summed, and each stage's choice."""
+def encode(frames: DataFrame, model: Model, real_mask: bool = False, skip: frozenset[tuple[int, int]] = frozenset()) -> tuple[DataFrame, list[dict]]:
+    """(frame_id, level, bi, bj, vec) of what all stages coded, summed, and each stage's choice with
+    the bits so far.  Stages named in skip as (level, position) code nothing."""
     n = frames.count()
     coeffs = linear.channel_transform(frames, model.transform) if model.transform else layout.unfold(frames, model.config.windows[0]).withColumn("level", F.lit(0))
-    decoded, choices, rule = None, [], rd.SPATIAL if model.transform else rd.PLAIN
-    levels = sorted({s.level for s in model.stages}, reverse=True)
-    for level in levels:
+    decoded, choices, rule, bits = None, [], rd.SPATIAL if model.transform else rd.PLAIN, 0.0
+    for level in sorted({s.level for s in model.stages}, reverse=True):
         blocks = coeffs.where(F.col("level") == level).drop("level") if model.transform else coeffs.drop("level")
+        area = area_of(model.config, level, model.transform.channels) if model.transform else None
         whole = blocks
-        for stage in (s for s in model.stages if s.level == level):
-            coded, choice = encode_stage(blocks, stage, model.config.lagrange, n, rule, real_mask)
-            choices.append({"level": level, "position": stage.position, **choice})
+        for stage in (s for s in model.stages if s.level == level and (level, s.position) not in skip):
+            coded, choice = encode_stage(blocks, stage, model.config.lagrange, n, rule, real_mask, area)
+            bits += choice["r"]
+            choices.append({"level": level, "position": stage.position, **choice, "bits_so_far": bits})
             blocks = rest_of(coded)
         left = blocks.withColumnRenamed("vec", "rest")
         part = whole.join(left, ["frame_id", "bi", "bj"]).select("frame_id", F.lit(level if model.transform else 0).alias("level"), "bi", "bj", F.zip_with("vec", "rest", lambda a, b: a - b).alias("vec"))
@@ -227,6 +242,24 @@ def join_planes(parts: list[DataFrame], side: DataFrame) -> DataFrame:
     return linear.per_frame_pca(whole, inverse=True)
 
 
+def fit_planes(frames: DataFrame, configs: list[ResolutionConfig], rounds: int = 300) -> list[Model]:
+    """One model for each colour component of the frames, the strongest component first."""
+    parts, _ = planes(frames)
+    return [fit(part, config, rounds) for part, config in zip(parts, configs, strict=True)]
+
+
+def encode_planes(frames: DataFrame, models: list[Model]) -> tuple[DataFrame, list[list[dict]]]:
+    """Frames rebuilt from their coded colour components, and the choices of each component."""
+    parts, side = planes(frames)
+    size = frames.select("h", "w").first()
+    back, choices = [], []
+    for part, model in zip(parts, models, strict=True):
+        coded, made = encode(part, model)
+        back.append(reconstruct(coded, model, size.h, size.w))
+        choices.append(made)
+    return join_planes(back, side), choices
+
+
 def spatial_stages(frames: DataFrame, windows: tuple[int, ...], k: int, thresholds: tuple[float, ...]) -> tuple[DataFrame, list[np.ndarray]]:
     """Fixed thresholds, from large blocks to small: each window's codebook on what is left over.
 

@@ -74,6 +74,19 @@ def test_planes_round_trip(spark):
     assert metrics.frame_errors(colours, back).agg({"mse": "max"}).first()[0] < 3  # the kernels are quantised
 
 
+def test_coded_planes(spark):
+    colours = vq.frames_from_arrays(spark, {i: picture(i, 8, 3) for i in range(4)})
+    config = ResolutionConfig(8, (2,), 0, 1e3, (LevelConfig((8,), (-1,)),))
+    back, choices = vq.encode_planes(colours, vq.fit_planes(colours, [config] * 3, rounds=3))
+    assert len(choices) == 3 and metrics.quality(colours, back).first().mse < 2_500
+
+
+def test_resolutions(frames):
+    configs = [ResolutionConfig(n, (2,), 0, 1e3, (LevelConfig((8,), (-1,)),)) for n in (8, 16)]
+    back, choices = vq.encode_resolutions(frames, vq.fit_resolutions(frames, configs))
+    assert [c["resolution"] for c in choices] == [8, 16] and metrics.quality(frames, back).first().mse < 2_500
+
+
 def test_color(spark):
     rows = spark.createDataFrame([(1, 0, j, float(10 * j), 20.0, 30.0) for j in range(4)] + [(1, 1, j, float(j), 2.0, 3.0) for j in range(4)], "frame_id int, i int, j int, y double, u double, v double")
     y, uv = color.to_420(rows)
@@ -146,10 +159,14 @@ def test_fit_encode_and_save(frames, tmp_path):
     back = vq.reconstruct(coded, model, 16, 16)
     silent = frames.withColumn("data", layout.F.transform("data", lambda x: x * 0))
     assert metrics.quality(frames, back).first().mse < 0.3 * metrics.quality(frames, silent).first().mse
-    assert len(choices) == 3 and all(c["mask_bits"] >= 0 for c in choices)
-    model.save(str(tmp_path / "model.json"))
-    again = vq.Model.load(str(tmp_path / "model.json"), config)
-    assert [s.thresholds for s in again.stages] == [s.thresholds for s in model.stages]
+    assert len(choices) == 3 and all(c["mask_bits"] >= 0 for c in choices) and choices[2]["bits_so_far"] >= choices[1]["bits_so_far"]
+    path = str(tmp_path / "model.json")
+    model.save(path)
+    assert [s.thresholds for s in vq.Model.load(path, config).stages] == [s.thresholds for s in model.stages]
+    model.stages.pop()
+    model.save(path)
+    assert len(vq.fit(frames, config, rounds=5, path=path).stages) == 3
+    assert len(vq.encode(frames, model, skip=frozenset({(1, 0)}))[1]) == 1
 
 
 def test_plain_and_spatial(frames):
