@@ -33,6 +33,8 @@ _BOILER_WORDS = frozenset(
     "masthead topbar banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations "
     "comment comments commentlist disqus reply replies respond pagination pager widget widgets toolbar search complementary contentinfo disclaimer copyright skip tags byline paywall".split()
 )
+_BOILER_STARTS = ("advert", "cookie", "comment", "newsletter", "sidebar", "navbar", "breadcrumb", "adslot", "adbox", "adunit", "sitenav", "sitefooter")
+_ABOUT = frozenset("has with no without is".split())  # such values tell what an element goes with
 _MAIN_WORDS = frozenset("main article articlebody".split())
 _STOP = frozenset(
     "the of and to in a is that for on with as was it be by are this from at or an have not they but his her which you were their has been "
@@ -62,14 +64,17 @@ def _kind(tag: str, attrs: str) -> tuple[bool, bool]:
     boiler, main = tag in _BOILER_TAGS, tag in ("article", "main")
     if "=" in attrs or "hidden" in attrs:
         a = _attributes(attrs)
-        words = {w for k in ("class", "id", "role", "itemprop") for w in re.split(r"[\s_-]+|(?<=[a-z])(?=[A-Z])", a.get(k, "")) if w}
-        words = {w.lower().rstrip("0123456789") for w in words}
-        hidden = "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""))
-        boiler = boiler or tag not in ("body", "html", "main") and bool(words & _BOILER_WORDS and not words & _MAIN_WORDS or hidden)
-        main = main or bool(words & _MAIN_WORDS) and not boiler
-    if tag == "article" and boiler:
-        main = False
-    return main, boiler
+        for value in " ".join(a.get(k, "") for k in ("class", "id", "role", "itemprop")).split():
+            parts = [w.lower().rstrip("0123456789") for w in re.split(r"[_-]+|(?<=[a-z])(?=[A-Z])", value) if w]
+            if not parts or parts[0] in _ABOUT:
+                continue
+            if any(w in _BOILER_WORDS or w.startswith(_BOILER_STARTS) for w in parts):
+                boiler = boiler or tag not in ("body", "html", "main")
+            elif parts[-1] in _MAIN_WORDS:
+                main = True
+        if "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", "")):
+            boiler = boiler or tag not in ("body", "html")
+    return main and not boiler, boiler
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -171,11 +176,13 @@ def stop_density(text: str) -> float:
 def classify(blocks: list[Block], short: int = 70, long: int = 200, links: float = 0.5, stop_low: float = 0.1, stop_high: float = 0.2) -> None:
     """Labels the blocks in place."""
     has_main = any(b.main and not b.boiler for b in blocks)
-    for b in blocks:
+    linked = [b.link_chars > 0.9 * len(b.text) for b in blocks]
+    for i, b in enumerate(blocks):
         density = b.link_chars / len(b.text)
+        listed = linked[i] and (any(linked[max(0, i - 1) : i]) or any(linked[i + 1 : i + 2]))
         if b.boiler or has_main and not b.main:
             b.label = -1
-        elif density > links and (not has_main or density > 0.9 and len(b.text) < long):
+        elif density > links and not has_main or listed and len(b.text) < long:
             b.label = -1
         elif len(b.text) < short:
             b.label = 0

@@ -123,6 +123,15 @@ def test_main_text(wrap):
     assert main_text(PAGE % (wrap % body)) == TEXT
 
 
+def test_regions_by_their_names():
+    good = "The first paragraph of the article is long enough to be decided by its words and the rest."
+    for bad in ('<div class="article-comments"><p>%s</p></div>', '<div id="main-menu"><p>%s</p></div>', '<p class="advertBox">%s</p>', '<div style="display:none">%s</div>', '<ul class="menu"><li>%s</li></ul>', "<aside>%s</aside>", '<div role="alert">%s</div>', "<ul><li><a href=a>%s</a></li><li><a href=b>x</a></li></ul>", "<form>%s</form>", "<!-- %s -->"):
+        for wrap in ("<article>%s</article>", '<div class="content has-sidebar">%s</div>'):
+            assert main_text(wrap % (f"<p>{good}</p>" + bad % "Of the and to in a is that." + f"<p>{good}</p>")) == f"{good}\n{good}"
+    assert main_text(f"<article><header><h1>Title</h1><p>By me</p></header><p>{good}</p><p><a href=x>Short link</a></p><blockquote>Quote</blockquote><pre>a\n b</pre></article>") == f"Title\n{good}\nShort link\nQuote\na b"
+    assert main_text(f"<table><tr><td>{good}<td>{good}</table>") == f"{good}\n{good}"
+
+
 def test_extract_text_edges(spark):
     pages = spark.createDataFrame([(1, "u", None, 1), (2, None, "", 2), (3, "u", "no markup at all", 3), (None, "u", "<p>a<p>b<br>c", 4), (4, "u", PAGE % "", 5), (5, "u", "<article>" + "<p>the word of it " * 5_000, 6), (5, "u", "<script>x", 7)], "page_id long, url string, html string, text int")
     got = extract_text(pages).collect()
