@@ -6,7 +6,7 @@ and dropped as soon as the posterior probability of the wanted similarity falls
 probability; survivors are verified exactly on full sets.  Verification goes in rounds, so that large
 groups of near copies don't turn into all their pairs: first each candidate with the smallest member
 of the bucket it shares most bands with, then, only where a bucket still holds several components,
-each outsider with its likeliest partner in each other component, then whatever pairs are left.
+each outsider with its likeliest partner, then every pair that is left, where it meets.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockloom.llm import kernels as K
@@ -30,6 +30,8 @@ BROADCAST_IDS = 500_000
 """Ids of candidates, at most, that are broadcast to pick their texts; more are joined by shuffle."""
 CELL = 4_096
 """Members of one bucket that one group compares; larger buckets are split into a grid of cells."""
+SET_CELL = 512
+"""The same where members bring their full sets."""
 _U = np.uint64
 _rng = np.random.default_rng(77)
 _MULTIPLY = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=_U) * _U(2) + _U(1)
@@ -166,28 +168,70 @@ def _verify(percent: int, miss: float):
     return verify
 
 
-def _cells(threshold: float, miss: float):
-    """Pairs of one cell's outsiders and members in other components that the signatures leave."""
+class _Cell:
+    """Outsiders and members of one cell, and the pairs of them that the signatures leave.
 
-    def compare(group: pa.Table) -> pa.Table:
-        band = group.column("band")[0].as_py()
-        node, comp, outside, member = (group.column(c).to_numpy() for c in ("node", "comp", "outside", "member"))
-        sigs = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint32).reshape(-1, BANDS * ROWS)
-        members = np.flatnonzero(member)
-        rows: list[tuple[np.ndarray, ...]] = []
-        for x in np.flatnonzero(outside):
-            # A pair of outsiders is met from both sides; one of them is enough.
-            others = members[(comp[members] != comp[x])]
-            found, matches = survivors(sigs[x], sigs[others], threshold, miss)
-            at = others[found]
-            same = (sigs[at] == sigs[x]).reshape(len(at), BANDS, ROWS).all(2)
-            first = same.argmax(1) == band  # a pair is told by the first band it shares
-            at, matches = at[first], matches[first]
-            rows.append((np.full(len(at), node[x]), node[at], np.full(len(at), comp[x]), comp[at], matches))
-        columns = [np.concatenate(c) for c in zip(*rows)] if rows else [np.zeros(0, np.int64)] * 5
-        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("x", "y", "comp_x", "comp_y", "matches"), columns)})
+    A pair counts in the bucket of the first band it shares, so it is looked at once."""
 
-    return compare
+    def __init__(self, group: pa.Table, threshold: float, miss: float):
+        self.threshold, self.miss = threshold, miss
+        self.band = group.column("band")[0].as_py()
+        self.node, self.comp, outside, member = (group.column(c).to_numpy() for c in ("node", "comp", "outside", "member"))
+        self.sigs = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint32).reshape(-1, BANDS * ROWS)
+        self.outsiders, self.members = np.flatnonzero(outside), np.flatnonzero(member)
+
+    def partners(self, x: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of others that may be linked with row x, the likeliest first, and their matches."""
+        found, matches = survivors(self.sigs[x], self.sigs[others], self.threshold, self.miss)
+        at = others[found]
+        first = (self.sigs[at] == self.sigs[x]).reshape(len(at), BANDS, ROWS).all(2).argmax(1) == self.band
+        at, matches = at[first], matches[first]
+        order = np.lexsort((self.node[at], -matches))
+        return at[order], matches[order]
+
+
+def _likeliest(threshold: float, miss: float):
+    """(x, y, matches): each outsider's likeliest partner in another component of its cell."""
+
+    def choose(group: pa.Table) -> pa.Table:
+        c = _Cell(group, threshold, miss)
+        rows = []
+        for x in c.outsiders:
+            at, matches = c.partners(x, c.members[c.comp[c.members] != c.comp[x]])
+            if len(at):
+                rows.append((c.node[x], c.node[at[0]], matches[0]))
+        return pa.table({n: pa.array([r[i] for r in rows], pa.int64()) for i, n in enumerate(("x", "y", "matches"))})
+
+    return choose
+
+
+def _linked(threshold: float, miss: float, percent: int):
+    """(a, b): exactly verified links that join components of a cell; a pair whose components are
+    already one needs no look, so a cell gives fewer links than it has nodes."""
+
+    def link(group: pa.Table) -> pa.Table:
+        c = _Cell(group, threshold, miss)
+        blobs = group.column("set").to_pylist()
+        names, comp = np.unique(c.comp, return_inverse=True)
+        parent = list(range(len(names)))
+
+        def find(i: int) -> int:
+            while parent[i] != i:
+                parent[i] = parent[parent[i]]
+                i = parent[i]
+            return i
+
+        rows = []
+        for x in c.outsiders:
+            own = np.frombuffer(blobs[x], _U)
+            for y in c.partners(x, c.members[comp[c.members] != comp[x]])[0]:
+                i, j = find(comp[x]), find(comp[y])
+                if i != j and similar(own, np.frombuffer(blobs[y], _U), percent):
+                    parent[max(i, j)] = min(i, j)
+                    rows.append((c.node[x], c.node[y]))
+        return pa.table({n: pa.array([r[i] for r in rows], pa.int64()) for i, n in enumerate("ab")})
+
+    return link
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -243,34 +287,27 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = buckets.where("node != hub").groupBy("node", "hub").count()
     star = shared.groupBy("node").agg(F.max(F.struct("count", (-F.col("hub")).alias("minus"))).alias("m")).select((-F.col("m.minus")).alias("a"), F.col("node").alias("b"))
     edges = verified(star, "near-links")
-    sigs = classes.select("node", "sig")
 
-    def outsiders(known: DataFrame, name: str) -> DataFrame:
-        """Pairs in different components that share a bucket and survive the signatures."""
-        comp = components(known)
+    def cells(comp: DataFrame, size: int) -> DataFrame:
+        """Members of buckets that hold several components; a cell has at most about ``size`` members
+        and as many outsiders, those not in the bucket's largest component."""
         rows = buckets.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")).drop("n", "hub")
         per = rows.groupBy("key", "comp").count()
         sums = per.groupBy("key").agg(F.max(F.struct("count", (-F.col("comp")).alias("minus"))).alias("m"), F.sum("count").alias("n"), F.count("*").alias("comps")).where("comps > 1")
-        sums = sums.select("key", (-F.col("m.minus")).alias("main"), F.ceil(F.col("n") / CELL).cast("int").alias("wide"), F.ceil((F.col("n") - F.col("m.count")) / CELL).cast("int").alias("high"))
+        sums = sums.select("key", (-F.col("m.minus")).alias("main"), F.ceil(F.col("n") / size).cast("int").alias("wide"), F.ceil((F.col("n") - F.col("m.count")) / size).cast("int").alias("high"))
         mixed = rows.join(sums, "key").withColumn("out", F.col("comp") != F.col("main"))
         mixed = mixed.withColumn("col", F.pmod(F.xxhash64("node"), F.col("wide")).cast("int")).withColumn("row", F.pmod(F.xxhash64("node", F.lit(1)), F.col("high")).cast("int"))
         as_member = mixed.withColumn("row", F.explode(F.sequence(F.lit(0), F.col("high") - 1))).withColumns({"outside": F.lit(False), "member": F.lit(True)})
         as_out = mixed.where("out").withColumn("col", F.explode(F.sequence(F.lit(0), F.col("wide") - 1))).withColumns({"outside": F.lit(True), "member": F.lit(False)})
-        cells = as_member.unionByName(as_out).groupBy("key", "band", "row", "col", "node", "comp").agg(F.max("outside").alias("outside"), F.max("member").alias("member"))
-        told = cells.join(sigs, "node").groupBy("key", "row", "col").applyInArrow(_cells(percent / 100, miss), "x long, y long, comp_x long, comp_y long, matches long")
-        return written(told, name)
-
-    # Round two: the likeliest partner of each outsider in each other component; then all that is left.
-    left = outsiders(edges, "near-outsiders")
-    by = Window.partitionBy("x", "comp_y").orderBy(F.desc("matches"), "y")
-    best = left.withColumn("k", F.row_number().over(by)).where("k = 1").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = verified(best, "near-links")
-    edges = edges.unionByName(more)
+        return as_member.unionByName(as_out).groupBy("key", "band", "row", "col", "node", "comp").agg(F.max("outside").alias("outside"), F.max("member").alias("member"))
+
+    # Round two: each outsider's likeliest partner.
+    likely = cells(components(edges), CELL).join(classes.select("node", "sig"), "node").groupBy("key", "row", "col").applyInArrow(_likeliest(percent / 100, miss), "x long, y long, matches long")
+    best = likely.groupBy("x").agg(F.max(F.struct("matches", (-F.col("y")).alias("minus"))).alias("m")).select("x", (-F.col("m.minus")).alias("y"))
+    edges = edges.unionByName(verified(best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "near-links"))
+    # Round three: all pairs left over, verified where they meet.
     comp = components(edges)
-    label = lambda s: comp.select(F.col("node").alias(s), F.col("comp").alias(f"now_{s}"))
-    rest = left.join(label("x"), "x", "left").join(label("y"), "y", "left").where(F.coalesce("now_x", "x") != F.coalesce("now_y", "y"))
-    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(best, ["a", "b"], "left_anti")
-    last = verified(rest, "near-links")
+    last = written(cells(comp, SET_CELL).join(sets, "node").groupBy("key", "row", "col").applyInArrow(_linked(percent / 100, miss, percent), "a long, b long"), "near-links")
     if last.limit(1).count():
         comp = components(edges.unionByName(last))
     per_class = classes.select("print", "node").join(comp, "node", "left").select("print", F.coalesce("comp", "node").alias("comp"))
