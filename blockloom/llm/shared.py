@@ -6,13 +6,16 @@ executor can reach, so a lost executor never takes a result with it.
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_BYTES = 8 << 20
+"""Bytes of one batch of rows that goes to a Python worker in the steps that are written."""
 NULL_ID = (1 << 63) - 1
 """Stands for a null id inside packed arrays; it sorts after every other id."""
 
@@ -32,11 +35,27 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/blockloom/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, rows go to Python in batches of at most BATCH_BYTES."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table written to the shared folder: later plans start from its files."""
     path = new_path(df.sparkSession, name)
     schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
@@ -53,6 +72,3 @@ def two_columns(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, .
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-
-def sql_words(column: str, pattern: str = r"[^\x20\x09-\x0D]+") -> str:
-    return f"regexp_extract_all({column}, '{re.sub(chr(39), chr(39) * 2, pattern)}')"
