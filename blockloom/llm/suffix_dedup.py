@@ -23,8 +23,10 @@ from blockloom.llm.shared import two_columns, written
 from blockloom.llm.substring_dedup import candidates, flag_repeated
 
 _U = np.uint64
-TEXT_BYTES = 1 << 20
+TEXT_BYTES = 1 << 17
 """Contexts of several anchors share one suffix array up to this size."""
+SHARD_ANCHORS = 200_000
+"""Anchors of one shard, at most about as many: a shard holds the contexts of the repeated ones."""
 
 
 def suffix_array(text: list[int]) -> list[int]:
@@ -204,45 +206,96 @@ def repeated_starts(strings: list[bytes], length: int) -> list[np.ndarray]:
     return [flags[b : b + max(0, len(s) - length + 1)] for b, s in zip(begins, strings)]
 
 
-def judge_contexts(groups: dict[int, dict[tuple[bytes, int], int]], length: int) -> dict[tuple[bytes, int], np.ndarray]:
+class _Judge:
+    """Decides which strings of contexts occur elsewhere; contexts are (bytes, anchor's place)."""
+
+    def __init__(self, length: int, text_bytes: int):
+        self.length, self.text_bytes = length, text_bytes
+        self.verdict: dict[tuple[bytes, int], np.ndarray] = {}
+        self._clear()
+
+    def _clear(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.wanted: list[tuple[list[tuple[tuple[bytes, int], int]], int, bytes, bool]] = []
+        self.size = 0
+
+    def solve(self) -> None:
+        """Strings that wait, in one suffix array; their verdicts go to all contexts they came from."""
+        if self.wanted:
+            strings = list(self.number)
+            found = repeated_starts(strings, self.length)
+            for owners, low, piece, several in self.wanted:
+                hits = found[self.number[piece]]
+                hits = np.ones(len(hits), bool) if several else hits
+                for context, at in owners:
+                    self.verdict[context][at + low : at + low + len(hits)] |= hits
+        self._clear()
+
+    def add(self, contexts: dict[tuple[bytes, int], int]) -> None:
+        """All different contexts of one anchor and how often each occurs (2 for more)."""
+        for c, n in contexts.items():
+            self.verdict[c] = np.full(len(c[0]) - self.length + 1, n > 1)
+        if len(contexts) > 1:
+            whole = {c: ([(c, 0)], n) for c, n in contexts.items()}
+            self._part(whole, 0, max(p for _, p in contexts))
+
+    def _part(self, pieces: dict[tuple[bytes, int], tuple[list, int]], low: int, high: int) -> None:
+        """pieces: what contexts have of the strings that begin low..high bytes before the anchor.
+
+        Too many of them for one suffix array are parted by content: strings that begin at most
+        ``middle`` bytes before the anchor agree in what follows it, the others in what precedes it."""
+        if len(pieces) < 2:
+            return
+        if sum(len(b) for b, _ in pieces) <= self.text_bytes:
+            self._queue(pieces)
+            return
+        if low == high:
+            return  # single strings: equal ones are one piece already
+        middle, length = (low + high) // 2, self.length
+        parts: dict[tuple[int, bytes], dict[tuple[bytes, int], tuple[list, int]]] = {}
+        for (b, p), (owners, n) in pieces.items():
+            for half, least, most in ((0, low, middle), (1, middle + 1, high)):
+                first, last = p - min(most, p), p - max(least, p - (len(b) - length))
+                if first > last:
+                    continue
+                cut, place = b[first : last + length], p - first
+                shared = b[p : p + length - middle] if half == 0 else b[p - middle - 1 : p]
+                group = parts.setdefault((half, shared), {})
+                have = group.get((cut, place))
+                moved = [(c, at + first) for c, at in owners]
+                group[cut, place] = (have[0] + moved, have[1] + n) if have else (moved, n)
+        for (half, _), group in parts.items():
+            for (b, _), (owners, n) in group.items():
+                if n > 1:
+                    for context, at in owners:
+                        self.verdict[context][at : at + len(b) - length + 1] = True
+            self._part(group, low if half == 0 else middle + 1, middle if half == 0 else high)
+
+    def _queue(self, pieces: dict[tuple[bytes, int], tuple[list, int]]) -> None:
+        several = list(pieces)
+        shared: dict[bytes, list] = {}
+        for c, (low, high) in zip(several, _cut_to_shared(several, self.length)):
+            if high > low:
+                shared.setdefault(c[0][low:high], []).append((pieces[c], low))
+        for piece, found in shared.items():
+            if piece not in self.number:
+                self.number[piece] = len(self.number)
+                self.size += len(piece)
+            twice = len(found) > 1 or found[0][0][1] > 1
+            for (owners, _), low in found:
+                self.wanted.append((owners, low, piece, twice))
+        if self.size > self.text_bytes:
+            self.solve()
+
+
+def judge_contexts(groups: dict[int, dict[tuple[bytes, int], int]], length: int, text_bytes: int = TEXT_BYTES) -> dict[tuple[bytes, int], np.ndarray]:
     """groups: by anchor hash, each different context and how often it occurs (2 for more).  For each
     context: which of its strings occur elsewhere."""
-    verdict: dict[tuple[bytes, int], np.ndarray] = {}
-    batch: dict[bytes, int] = {}
-    wanted: list[tuple[tuple[bytes, int], int, int, bytes]] = []
-    owners: dict[tuple[int, bytes], int] = {}
-    size = 0
-
-    def solve() -> None:
-        nonlocal batch, wanted, size
-        strings = list(batch)
-        found = repeated_starts(strings, length) if len(strings) > 1 else [np.zeros(max(0, len(s) - length + 1), bool) for s in strings]
-        for context, number, low, piece in wanted:
-            part = found[batch[piece]]
-            if owners[number, piece] > 1:
-                part = np.ones(len(part), bool)
-            verdict[context][low : low + len(part)] |= part
-        batch, wanted, size = {}, [], 0
-
-    for number, (_, contexts) in enumerate(groups.items()):
-        several = list(contexts)
-        for c in several:
-            verdict[c] = np.full(len(c[0]) - length + 1, contexts[c] > 1)
-        if len(several) < 2:
-            continue
-        for c, (low, high) in zip(several, _cut_to_shared(several, length)):
-            if high > low:
-                piece = c[0][low:high]
-                owners[number, piece] = owners.get((number, piece), 0) + 1
-                if piece not in batch:
-                    batch[piece] = len(batch)
-                    size += len(piece)
-                wanted.append((c, number, low, piece))
-        if size > TEXT_BYTES:
-            solve()
-            owners.clear()
-    solve()
-    return verdict
+    judge = _Judge(length, text_bytes)
+    for contexts in groups.values():
+        judge.add(contexts)
+    judge.solve()
+    return judge.verdict
 
 
 class _Contexts:
@@ -267,7 +320,7 @@ class _Contexts:
         self.edges = B.cuts(self.hashes, shards)
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, depth: int = 2, carry: tuple[str, ...] = ()) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, depth: int = 2, text_bytes: int = TEXT_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
     """Removes every byte covered by a string of ``length`` bytes that starts at another place too.
 
     Texts are UTF-8 bytes, strings lie within one text, places may be in the same text and overlap, and
@@ -285,7 +338,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     packed = B.pack(source, lambda b: len(hashes_of(b)), "suffix-blocks")
     shards, n_keys = B.shards_for(packed)
-    shards = max(shards, -(-n_keys // 400_000))
+    shards = max(shards, -(-n_keys // SHARD_ANCHORS))
     first_masks = flag_repeated(packed, hashes_of, shards, n_keys, depth, "suffix-flags")
     sent = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("hashes", pa.binary()), ("places", pa.binary()), ("sizes", pa.binary()), ("several", pa.binary()), ("bytes", pa.binary())])
 
@@ -317,7 +370,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 contexts[key] = min(2, contexts.get(key, 0) + 1 + two)
                 own.append(key)
             lists.append(own)
-        verdict = judge_contexts(groups, length)
+        verdict = judge_contexts(groups, length, text_bytes)
         shard = group.column("shard")[0].as_py()
         rows = []
         for number, own in zip(group.column("block").to_pylist(), lists):

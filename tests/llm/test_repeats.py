@@ -99,14 +99,15 @@ def test_anchors_cover_every_string_once():
         assert all(b <= p <= a + length // 2 for p, a, b in zip(places, low, high))
 
 
-def test_judged_contexts_match_brute_force():
+@pytest.mark.parametrize("size", [1, 30, 10_000])
+def test_judged_contexts_match_brute_force(size):
     rng = random.Random(6)
-    for _ in range(50):
+    for _ in range(80):
         texts = [bytes(rng.choice(b"ab") for _ in range(rng.randint(8, 14))) for _ in range(rng.randint(1, 6))]
         contexts = Counter()
         for t in texts:
             contexts[(t, 4)] = min(2, contexts[(t, 4)] + 1)
-        got = judge_contexts({1: dict(contexts)}, 8)
+        got = judge_contexts({1: dict(contexts)}, 8, size)
         for (t, p), mask in got.items():
             for s, hit in enumerate(mask):
                 aligned = sum((u[s - p + q : s - p + q + 8] == t[s : s + 8]) * n for (u, q), n in contexts.items() if 0 <= s - p + q <= len(u) - 8)
@@ -121,10 +122,10 @@ def test_repeated_starts():
     assert [x.tolist() for x in got] == [[False, False, True, True, False], [False, False, True, True, False, False], []]
 
 
-@pytest.mark.parametrize("length", [40, 200])
-def test_suffix_dedup_edges(spark, length):
+@pytest.mark.parametrize(("length", "size"), [(40, 1 << 17), (200, 1 << 17), (40, 100), (200, 2)])
+def test_suffix_dedup_edges(spark, length, size):
     rows = [r for r in edge_rows() if r[0] != 19] + [(19, prose(random.Random(2), 3_000))]
-    got = suffix_dedup(documents(spark, rows), length=length, carry=("source",)).collect()
+    got = suffix_dedup(documents(spark, rows), length=length, text_bytes=size, carry=("source",)).collect()
     raw = [(i, (t or "").encode()) for i, t in rows]
     seen = Counter(t[s : s + length] for _, t in raw for s in range(len(t) - length + 1))
     want = []
@@ -182,6 +183,7 @@ def test_near_dedup_splits_large_buckets(spark, monkeypatch):
     from blockloom.llm import near_dedup as module
 
     monkeypatch.setattr(module, "CELL", 8)
+    monkeypatch.setattr(module, "SET_CELL", 5)
     rng = random.Random(9)
     base, rows = [f"v{i}" for i in range(60)], []
     for i in range(60):
