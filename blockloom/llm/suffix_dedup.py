@@ -140,7 +140,7 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(valid)) - 1
         places.append(where[first] + at)
-        hashes.append(full[where[first]])
+        hashes.append(K.mix(full[where[first]]))  # least hashes are small ones; mixed anew they spread over all shards
         lows.append(valid[first] + at)
         highs.append(valid[last] + at)
     if not places:
