@@ -29,6 +29,10 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+CACHES: dict = {}
+"""What a reused Python worker keeps for the next task of the same operator; others drop it."""
+
+
 class _Hash:
     """Polynomial hash over bytes modulo 2^64 with a random value for each byte, then mixed."""
 
@@ -66,6 +70,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column laid end to end, and the offsets of its rows; null is empty."""
+    CACHES.clear()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
     if column.null_count:

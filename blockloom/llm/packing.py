@@ -19,6 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from blockloom.llm import kernels as K
 from blockloom.llm.shared import two_columns, written
 
 CAPACITY = 2_048
@@ -227,9 +228,6 @@ class _WordIds(dict):
         return self._split(text) if self.by_word else self._whole(text)
 
 
-_ENCODERS: dict[str, _WordIds] = {}
-
-
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", ids: bool = True) -> DataFrame:
     """Tokens of whole texts with an end id, longer ones cut: _id, piece, start, length, ids_crc32,
     part and rank (the row's number among those of its length in its part), and ids if asked.
@@ -241,7 +239,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         part, ranks = (task.partitionId() if task else 0), np.zeros(capacity + 1, np.int64)
-        encoder = _ENCODERS.get(tokenizer) or _ENCODERS.setdefault(tokenizer, _WordIds(tokenizer))
+        encoder = K.CACHES.get(tokenizer) or K.CACHES.setdefault(tokenizer, _WordIds(tokenizer))
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows: list[list] = [[] for _ in range(7 + ids)]

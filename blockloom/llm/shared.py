@@ -8,14 +8,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BATCH_BYTES = 8 << 20
-"""Bytes of one batch of rows that goes to a Python worker in the steps that are written."""
+"""Bytes of one batch of rows that goes to a Python worker."""
 NULL_ID = (1 << 63) - 1
 """Stands for a null id inside packed arrays; it sorts after every other id."""
 
@@ -35,27 +33,22 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/blockloom/{name}-{uuid.uuid4().hex}"
 
 
-@contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """While it lasts, rows go to Python in batches of at most BATCH_BYTES."""
+def bound_batches(spark: SparkSession) -> None:
+    """From now on the session sends rows to Python in batches of at most BATCH_BYTES.
+
+    A batch stands in the JVM, on its way and in the worker at once, once for each running task; the
+    default of 64 MB takes more of an executor than the operators' own state."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, str(BATCH_BYTES))
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
+    size = spark.conf.get(key, "67108864b")
+    if size in ("67108864b", "67108864", "64m", "64MB"):
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table written to the shared folder: later plans start from its files."""
     path = new_path(df.sparkSession, name)
     schema = df.schema
-    with small_batches(df.sparkSession):
-        df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
@@ -65,6 +58,7 @@ def shuffle_width(spark: SparkSession) -> int:
 
 def two_columns(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
     """(_id, _text, carried...) of docs; whatever else docs has, however it is named, is left out."""
+    bound_batches(docs.sparkSession)
     q = lambda c: F.col("`" + c.replace("`", "``") + "`")
     return docs.select(q(id_col).cast("long").alias("_id"), q(text_col).cast("string").alias("_text"), *[q(c).alias("_c" + c) for c in carry])
 
