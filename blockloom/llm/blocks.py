@@ -23,23 +23,25 @@ SHARD_KEYS = 2_000_000
 """Keys of one shard of the hash space, at most about as many: it bounds a task's memory."""
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, block_bytes: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about block_bytes of text, at least a row each."""
     _, offs = K.text_bytes(batch.column("_text"))
     i = 0
     while i < batch.num_rows:
-        j = min(max(i + 1, int(np.searchsorted(offs, offs[i] + BLOCK_BYTES, "right")) - 1), i + 20_000)
+        j = min(max(i + 1, int(np.searchsorted(offs, offs[i] + block_bytes, "right")) - 1), i + 20_000)
         yield batch.slice(i, j - i)
         i = j
 
 
 def pack(docs: DataFrame, count: Callable[[pa.RecordBatch], int], name: str) -> DataFrame:
     """Writes (block long, n_keys long, blob binary) for (_id, _text, ...); count gives a block's keys."""
+    block_bytes = BLOCK_BYTES
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         number = (task.partitionId() if task else 0) << 32
         for batch in batches:
-            for part in _slices(batch):
+            for part in slices(batch, block_bytes):
                 sink = pa.BufferOutputStream()
                 part = pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in part.columns], schema=part.schema)
                 with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:

@@ -8,7 +8,6 @@ coverage limits go.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,9 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockloom.llm import kernels as K
+from blockloom.llm.blocks import BLOCK_BYTES, slices
 from blockloom.llm.shared import two_columns, written
 
-AUTOMATON_BYTES = 8 << 20
+AUTOMATON_BYTES = 1 << 20
 """Text of the items in one automaton, at most; more items make more automata, one pass each."""
 
 
@@ -220,23 +220,22 @@ def decontaminate(
         groups = ([(r.i, r.t) for r in kept.where(F.col("p") == k).collect()] for k in range(n_parts))
     extra = source.select(*["_c" + c for c in carry]).schema
     types = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in extra)
-    fields = f"_id long, _text string{types}, n_words long, longest long, items array<string>, spans array<struct<start: long, end: long>>"
+    found = "n_words long, longest long, items array<string>, spans array<struct<start: long, end: long>>"
     current = source.withColumns({"n_words": F.lit(0).cast("long"), "longest": F.lit(0).cast("long"), "items": F.array().cast("array<string>"), "spans": F.array().cast("array<struct<start: long, end: long>>")})
-    passes = 0
-    for group in groups:
-        for chunk in _chunks(group, 4 * automaton_bytes):
-            index = spark.sparkContext.broadcast(_Index(chunk, window))
-            if passes:
-                current = written(current, "decontamination-pass")
-            current = current.mapInArrow(_scanner(index, extra.names), fields)
-            passes += 1
+    chunks = (chunk for group in groups for chunk in _chunks(group, 4 * automaton_bytes))
+    chunk = next(chunks)
+    while (after := next(chunks, None)) is not None:
+        index = spark.sparkContext.broadcast(_Index(chunk, window))
+        current = written(current.mapInArrow(_scanner(index, extra.names, False), f"_id long, _text string{types}, {found}"), "decontamination-pass")
+        chunk = after
+    index = spark.sparkContext.broadcast(_Index(chunk, window))
+    done = current.mapInArrow(_scanner(index, extra.names, True), f"_id long{types}, {found}, clean_text string")
     hit_words = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     limits = F.lit(False)
     if max_span is not None:
         limits = limits | F.exists("spans", lambda s: s["end"] - s["start"] > max_span)
     if max_coverage is not None:
         limits = limits | (hit_words > F.col("n_words") * F.lit(float(max_coverage)))
-    done = current.mapInArrow(_cutter(extra.names), fields + ", clean_text string")
     return done.select(F.col("_id").alias(id_col), *[F.col(f"`_c{c}`").alias(c) for c in carry], "n_words", hit_words.alias("n_hit"), "longest", F.array_sort("items").alias("item_ids"), (hit_words > 0).alias("contaminated"), limits.alias("rejected"), "spans", "clean_text")
 
 
@@ -247,51 +246,41 @@ def _span_list(mask: np.ndarray) -> list[dict]:
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _scanner(index, extra: list[str]):
+def _cut_out(text: str, spans: list[dict], starts: np.ndarray, ends: np.ndarray) -> str:
+    """The text without the bytes from the first to the last word of each span."""
+    raw, keep, at = text.encode(), [], 0
+    for s in spans:
+        keep.append(raw[at : starts[s["start"]]])
+        at = int(ends[s["end"] - 1])
+    return b"".join([*keep, raw[at:]]).decode()
+
+
+def _scanner(index, extra: list[str], last: bool):
+    """Adds one automaton's hits to the rows' earlier ones; the last one cuts the texts."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = index.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, BLOCK_BYTES)):
             data, offs = K.text_bytes(batch.column("_text"))
-            starts, _, first, hit, items, longest = known.scan(data, offs)
+            starts, ends, first, hit, items, longest = known.scan(data, offs)
             before = np.concatenate(([0], np.cumsum(hit)))
             touched = before[first[1:]] > before[first[:-1]]
-            old_spans, old_items = batch.column("spans").to_pylist(), batch.column("items").to_pylist()
-            spans = []
-            for i, (a, b) in enumerate(zip(first, first[1:])):
-                if touched[i]:
-                    mask = hit[a:b].copy()
-                    for s in old_spans[i]:
-                        mask[s["start"] : s["end"]] = True
-                    spans.append(_span_list(mask))
-                else:
-                    spans.append(old_spans[i])
+            spans, old_items = batch.column("spans").to_pylist(), batch.column("items").to_pylist()
+            for i in np.flatnonzero(touched):
+                mask = hit[first[i] : first[i + 1]].copy()
+                for s in spans[i]:
+                    mask[s["start"] : s["end"]] = True
+                spans[i] = _span_list(mask)
             names = [sorted({*old, *(known.names[n] for n in new if known.names[n] is not None)}) for old, new in zip(old_items, items)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in ("_id", "_text", *extra)] + [pa.array(np.diff(first), pa.int64()), pa.array(np.maximum(longest, batch.column("longest").to_numpy()), pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(spans, _SPANS)],
-                names=["_id", "_text", *extra, "n_words", "longest", "items", "spans"],
-            )
+            made = [pa.array(np.diff(first), pa.int64()), pa.array(np.maximum(longest, batch.column("longest").to_numpy()), pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(spans, _SPANS)]
+            columns = ["_id", *([] if last else ["_text"]), *extra]
+            if last:
+                texts = batch.column("_text").to_pylist()
+                for i, s in enumerate(spans):
+                    if s:
+                        a, b = first[i], first[i + 1]
+                        texts[i] = _cut_out(texts[i], s, starts[a:b] - offs[i], ends[a:b] - offs[i])
+                made.append(pa.array(texts, pa.string()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], *made], names=[*columns, "n_words", "longest", "items", "spans", *["clean_text"] * last])
 
     return scan
-
-
-def _cutter(extra: list[str]):
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("_text").to_pylist()
-            for i, spans in enumerate(batch.column("spans").to_pylist()):
-                if spans:
-                    raw = texts[i].encode()
-                    data = K.LOWER[np.frombuffer(raw, np.uint8)]
-                    starts, ends, _ = K.words(data, np.array([0, len(data)]), K.ALNUM)
-                    keep, at = [], 0
-                    for s in spans:
-                        keep.append(raw[at : starts[s["start"]]])
-                        at = int(ends[s["end"] - 1])
-                    texts[i] = b"".join([*keep, raw[at:]]).decode()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "clean_text"])
-
-    return cut
-
-
-def digest(item_ids: list[str]) -> str:
-    return hashlib.sha256(",".join(item_ids).encode()).hexdigest()
