@@ -1,11 +1,15 @@
-"""License scans in DataFrame functions alone: sparse TF-IDF cosine of lines to templates, then
-inheritance from the nearest ancestor directory by joins on path prefixes.
+"""License scans in DataFrame functions alone: sparse TF-IDF cosine of whole texts, stretches of words
+and lines to templates, then inheritance from the nearest ancestor directory by joins on path prefixes.
 """
 
 from __future__ import annotations
 
+import json
 import math
+import re
 from collections import Counter
+from functools import cache, reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,21 +27,51 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "Proprietary": "All rights reserved.",
 }
+SPDX = ("MIT", "ISC", "Apache-2.0", "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0")
+TITLES = {
+    "MIT": "MIT License",
+    "MIT#1": "The MIT License",
+    "MIT#2": "The MIT License (MIT)",
+    "ISC": "ISC License",
+    "Apache-2.0": "Apache License, Version 2.0",
+    "GPL": "GNU GENERAL PUBLIC LICENSE",
+    "LGPL": "GNU LESSER GENERAL PUBLIC LICENSE",
+    "AGPL": "GNU AFFERO GENERAL PUBLIC LICENSE",
+    "MPL-2.0": "Mozilla Public License Version 2.0",
+    "BSD-2-Clause": "BSD 2-Clause License",
+    "BSD-3-Clause": "BSD 3-Clause License",
+    "CC0-1.0": "CC0 1.0 Universal",
+    **{re.sub("-only$|-or-later$", "", x) + "#spdx" + str(i): f"SPDX-License-Identifier: {x}" for i, x in enumerate(SPDX)},
+}
+"""Lines that name a license; what follows # only tells templates of one license apart.  A title
+without a version names the family."""
+STEPS = 10
+"""Stretches start at every tenth of a template's words, so one lies within a twentieth of any place."""
 WORD = "[0-9a-z]+"
+# Words of ordinary prose, which tell nothing about licenses; only speed depends on them.
+PROSE = frozenset("a all an and any are as at be but by can do each for from had has have how if in into is it its may more must no not of on one only or other our out shall so such than that the their them then there these they this those to under up use was we were what when where which who will with would you your".split())
 MAX_TERMS = 20_000
 """Terms of all templates together, at most: their weights travel in the plan."""
 
 
-def _terms(text: str) -> list[str]:
-    import re
+@cache
+def full_texts() -> dict[str, str]:
+    """Whole licenses and the standard notices of file headers, by license, or license#notice."""
+    folder = Path(__file__).parent / "licenses"
+    return {p.name.removesuffix(".txt").replace(".notice", "#notice"): p.read_text(encoding="utf-8") for p in sorted(folder.glob("*.txt"))}
+
 
+def _terms(text: str) -> list[str]:
     return re.findall(WORD, text.lower())
 
 
-def weights(templates: dict[str, str]) -> tuple[dict[str, float], float, dict[str, dict[str, float]]]:
+def weights(templates: dict[str, str], damped: bool = False) -> tuple[dict[str, float], float, dict[str, dict[str, float]]]:
     """Inverse document frequencies of the templates' terms, that of any other term, and each
-    template's weights divided by their length.  idf = 1 + ln((1 + N) / (1 + df))."""
+    template's weights divided by their length.  idf = 1 + ln((1 + N) / (1 + df)); damped counts are
+    1 + ln(count), so that in long texts common words don't outweigh the telling ones."""
     counts = {k: Counter(_terms(t)) for k, t in templates.items()}
+    if damped:
+        counts = {k: Counter({w: 1 + math.log(v) for w, v in c.items()}) for k, c in counts.items()}
     df = Counter(w for c in counts.values() for w in c)
     n = len(templates)
     idf = {w: 1 + math.log((1 + n) / (1 + d)) for w, d in df.items()}
@@ -84,12 +118,92 @@ def line_scores(files: DataFrame, templates: dict[str, str], threshold: float) -
     return fit.select("_key", "line_no", "s.license", "s.score")
 
 
-def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", templates: dict[str, str] | None = None, threshold: float = 0.8, license_names: str = "(?i)^(licen[cs]e|copying|notice)([.-].*)?$") -> DataFrame:
-    """The license of every file: its own best line's, else that of the nearest directory above with a
+def _constant(value: object, schema: str) -> Column:
+    return F.from_json(F.lit(json.dumps(value)), schema)
+
+
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once a row: filters and lambdas would repeat a plain one."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def _lookup(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A small table that travels in the plan."""
+    return F.broadcast(spark.range(0, 1, 1, 1).select(F.explode(_constant(rows, f"array<struct<{schema}>>")).alias("s")).select("s.*"))
+
+
+def candidates(rows: DataFrame, families: dict[str, dict[str, dict[str, float]]], threshold: float) -> DataFrame:
+    """The rows that can hold a text, stretch or line scoring the threshold, with _terms and the
+    templates in question (_fits, as family:name).
+
+    What scores c holds terms of at least c * c of the template's squared weight (Cauchy's
+    inequality), so a text that doesn't is left out, whatever its lines are.  Only some terms of a
+    template are looked for; the others count as held, so that loses no text."""
+    looked = {}
+    for family, norm in families.items():
+        for name, w in norm.items():
+            ordered, held, part = sorted(w, key=lambda x: (x in PROSE, -w[x], x)), 0.0, {}
+            for x in ordered:
+                if held >= (0.6 if len(w) > 60 else 0.95):
+                    break
+                part[x] = w[x] ** 2
+                held += part[x]
+            looked[f"{family}:{name}"] = (part, threshold * threshold - (1 - held) - 1e-9)
+    keys = sorted(looked)
+    shares = {x: [looked[k][0].get(x, 0.0) for k in keys] for x in sorted({x for part, _ in looked.values() for x in part})}
+    least = [looked[k][1] for k in keys]
+    # No template's sum reaches its least before the sum of each term's largest part of any least is 1.
+    most = {x: max(v / m for v, m in zip(vs, least, strict=True)) for x, vs in shares.items()}
+    out = _once(rows, "_terms", F.regexp_extract_all(F.lower("_text"), F.lit(WORD), F.lit(0)))
+    out = _once(out, "_hits", F.array_intersect("_terms", _constant(sorted(shares), "array<string>")))
+    some = F.aggregate("_hits", F.lit(0.0), lambda a, x: a + F.element_at(_constant(most, "map<string, double>"), x))
+    out = out.where((F.size("_hits") > 0) & (some >= 1 - 1e-6))
+    sums = F.aggregate("_hits", F.array_repeat(F.lit(0.0), len(keys)), lambda a, x: F.zip_with(a, F.element_at(_constant(shares, "map<string, array<double>>"), x), lambda c, d: c + d))
+    out = _once(out, "_held", sums)
+    fits = F.filter(_constant([{"fit": k, "at": i, "least": m} for i, (k, m) in enumerate(zip(keys, least, strict=True))], "array<struct<fit: string, at: int, least: double>>"), lambda s: F.get(F.col("_held"), s["at"]) >= s["least"])
+    return out.withColumn("_fits", F.transform(fits, lambda s: s["fit"])).where(F.size("_fits") > 0).drop("_hits", "_held")
+
+
+def stretch_scores(texts: DataFrame, family: str, templates: dict[str, str], threshold: float, damped: bool, whole: bool) -> DataFrame:
+    """(key, license, score) of the stretches of words, as long as a template, and (whole) of the whole
+    texts that score at least the threshold.  Lines and comment marks don't matter to either.
+
+    Only stretches with enough of the template's squared weight (see candidates) are scored."""
+    spark = texts.sparkSession
+    idf, other, norm = weights(templates, damped)
+    size = {n: len(_terms(t)) for n, t in templates.items()}
+    about = [{"fit": f"{family}:{n}", "license": n.split("#")[0], "m": size[n], "step": max(1, size[n] // STEPS), "squares": {w: v * v for w, v in norm[n].items()}} for n in sorted(norm)]
+    about = _lookup(spark, about, "fit string, license string, m int, step int, squares map<string, double>")
+    at = texts.select("_key", "_terms", F.explode("_fits").alias("fit")).join(about, "fit")
+    at = _once(at, "_w", F.transform("_terms", lambda x: F.coalesce(F.element_at("squares", x), F.lit(0.0))))
+    last = F.greatest(F.lit(0), F.size("_terms") - F.col("m"))
+    starts = F.array_union(F.sequence(F.lit(0), last, F.col("step")), F.array(last))
+    holds = lambda s: F.aggregate(F.slice("_w", s + 1, F.col("m")), F.lit(0.0), lambda a, x: a + x) >= threshold * threshold - 1e-9
+    spans = F.transform(F.filter(starts, holds), lambda s: F.struct(s.alias("start"), F.col("m").alias("n")))
+    if whole:
+        spans = F.array_union(spans, F.array(F.struct(F.lit(0).alias("start"), F.size("_terms").alias("n"))))
+    at = at.select("_key", "fit", "license", "_terms", F.explode(spans).alias("span"))
+    unit = ["_key", "fit", "license", "span"]
+    terms = at.select(*unit, F.explode(F.slice("_terms", F.col("span.start") + 1, F.col("span.n"))).alias("term")).groupBy(*unit, "term").agg(F.count("*").cast("double").alias("tf"))
+    if damped:
+        terms = terms.withColumn("tf", 1 + F.log("tf"))
+    terms = terms.join(_lookup(spark, [{"term": w, "idf": v} for w, v in sorted(idf.items())], "term string, idf double"), "term", "left")
+    terms = terms.join(_lookup(spark, [{"fit": f"{family}:{n}", "term": w, "norm": v} for n in sorted(norm) for w, v in sorted(norm[n].items())], "fit string, term string, norm double"), ["fit", "term"], "left")
+    w = F.col("tf") * F.coalesce("idf", F.lit(other))
+    sums = terms.groupBy(*unit).agg((F.sum(w * F.coalesce("norm", F.lit(0.0))) / F.sqrt(F.sum(w * w))).alias("score"))
+    return sums.where(F.col("score") >= threshold).select("_key", "license", "score")
+
+
+def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", templates: dict[str, str] | None = None, threshold: float = 0.8, license_names: str = "(?i)^(licen[cs]e|copying|notice)([.-].*)?$", texts: dict[str, str] | None = None, titles: dict[str, str] | None = None) -> DataFrame:
+    """The license of every file: its own best one, else that of the nearest directory above with a
     license file.
 
+    Own: first a whole license or a file header's notice (texts), compared with the whole text and with
+    stretches of as many words as the template; else a single line that is a template's sentence or
+    a title; else a stretch of words anywhere that is a sentence, as when it is wrapped or follows a name.
+
     Returns id, path, own_license, own_score, license, and inherited_from (the directory; null if the
-    license is the file's own or there is none).  Best: the highest score rounded to 9 digits, ties
+    license is the file's own or there is none).  Best, among those of the first kind found: the highest score rounded to 9 digits, ties
     to the first license name. A directory with several license files takes their best likewise.
     Null and empty texts have no license of their own; a null path inherits nothing. Rows that repeat
     (id and path) are judged together by all their texts and come back once. Empty tables give
@@ -98,8 +212,23 @@ def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_
     """
     templates = TEMPLATES if templates is None else templates
     rows = files.select(F.struct(_q(id_col).cast("long").alias("id"), _q(path_col).cast("string").alias("path")).alias("_key"), _q(text_col).cast("string").alias("_text"))
-    own = line_scores(rows.where("_text is not null"), templates, threshold).withColumn("score", F.round("score", 9))
-    own = own.groupBy("_key").agg(F.min(F.struct((-F.col("score")).alias("minus"), "license")).alias("b")).select("_key", F.col("b.license").alias("own_license"), (-F.col("b.minus")).alias("own_score"))
+    texts, titles = full_texts() if texts is None else texts, TITLES if titles is None else titles
+    families = {"text": (texts, True), "line": (titles, False), "sentence": (templates, False)}
+    families = {k: v for k, v in families.items() if v[0]}
+    held = candidates(rows.where("_text is not null"), {k: weights(*v)[2] for k, v in families.items()}, threshold)
+    # One row is one text: rows that repeat a key are scored apart and judged together.
+    held = written(held.withColumn("_key", F.struct(F.monotonically_increasing_id().alias("n"), F.col("_key").alias("k"))), "license-texts")
+    of = lambda family: held.where(F.exists("_fits", lambda x: x.startswith(family + ":")))
+    found = []
+    if "text" in families:
+        found.append(stretch_scores(held, "text", texts, threshold, True, True).select("_key", F.lit(0).alias("kind"), "license", "score"))
+    if "line" in families:
+        found.append(line_scores(of("line"), titles, threshold).select("_key", F.lit(1).alias("kind"), F.substring_index("license", "#", 1).alias("license"), "score"))
+    if "sentence" in families:
+        found.append(line_scores(of("sentence"), templates, threshold).select("_key", F.lit(1).alias("kind"), "license", "score"))
+        found.append(stretch_scores(held, "sentence", templates, threshold, False, False).select("_key", F.lit(2).alias("kind"), "license", "score"))
+    own = reduce(DataFrame.unionByName, found).select(F.col("_key.k").alias("_key"), "kind", "license", F.round("score", 9).alias("score"))
+    own = own.groupBy("_key").agg(F.min(F.struct("kind", (-F.col("score")).alias("minus"), "license")).alias("b")).select("_key", F.col("b.license").alias("own_license"), (-F.col("b.minus")).alias("own_score"))
     own = written(own, "license-lines")
     path = F.col("_key.path")
     base, above = F.substring_index(path, "/", -1), F.when(F.instr(path, "/") > 0, F.expr("substring(_key.path, 1, length(_key.path) - length(substring_index(_key.path, '/', -1)) - 1)")).when(path.isNotNull(), F.lit(""))

@@ -250,3 +250,21 @@ def test_license_scan(spark):
     got = {(r.doc_id, r.own_license, r.license, r.inherited_from) for r in license_scan.scan(files).collect()}
     assert got == {(1, "MIT", "MIT", None), (2, None, "MIT", "a"), (3, "Apache-2.0", "Apache-2.0", None), (4, None, "Apache-2.0", "a/b/c"), (5, "MIT", "MIT", None), (6, None, "Apache-2.0", ""), (7, None, None, None), (8, "Apache-2.0", "Apache-2.0", None), (9, None, "Apache-2.0", ""), (10, None, "Apache-2.0", "")}
     assert license_scan.scan(files.where("false")).count() == 0
+
+
+def test_license_scan_compares_whole_texts_headers_titles_and_wrapped_sentences(spark):
+    full = license_scan.full_texts()
+    bsd = license_scan.TEMPLATES["BSD-3-Clause"].split()
+    comment = lambda t: "\n".join(" * " + x for x in t.split("\n"))
+    header = "/*\n * Copyright 2020 Example Inc. All Rights Reserved.\n *\n" + comment(full["Apache-2.0#notice"]) + "\n */\nint main(void) { return 0; }\n" * 40
+    holder = "Copyright (c) 2024 Jane Doe\nAll rights reserved.\n\n"
+    cases = [
+        ("MIT", "MIT License\n\nCopyright (c) 2024 Jane Doe\n\n" + full["MIT"]), ("MIT", full["MIT"]), ("MIT", "import os\n" * 300 + full["MIT"] + "x = 1\n" * 300), ("MIT", " ".join(full["MIT"].split())),
+        ("BSD-3-Clause", holder + full["BSD-3-Clause"]), ("BSD-2-Clause", holder + full["BSD-2-Clause"]), ("Apache-2.0", header), ("GPL-3.0", full["GPL-3.0"]), ("GPL-2.0", full["GPL-2.0"]), ("LGPL-2.1", full["LGPL-2.1"]),
+        ("GPL-2.0", comment(full["GPL-2.0#notice"]).replace("This program", "Example")), ("GPL-3.0", comment(full["GPL-3.0#notice"])), ("Proprietary", "Copyright (c) 2024 Acme Inc. All rights reserved."), ("MIT", "The MIT License (MIT)"),
+        ("MIT", "MIT License"), ("GPL", "GNU GENERAL PUBLIC LICENSE"), ("Apache-2.0", "// SPDX-License-Identifier: Apache-2.0\nx"), ("GPL-3.0", "# SPDX-License-Identifier: GPL-3.0-or-later"), ("BSD-3-Clause", " ".join(bsd[:10]) + "\n# " + " ".join(bsd[10:])),
+        (None, "the general public may use the work in any way, and all of it is to be of use to you with the others " * 50), (None, ""),
+    ]
+    files = spark.createDataFrame([(i, f"{i}/x", t) for i, (_, t) in enumerate(cases)], "doc_id long, path string, text string")
+    got = {r.doc_id: r.own_license for r in license_scan.scan(files).collect()}
+    assert got == {i: name for i, (name, _) in enumerate(cases)}
