@@ -81,7 +81,7 @@ def fit_stage(blocks: DataFrame, level: int, position: int, k: int, dims: int, l
 def encode_stage(blocks: DataFrame, stage: Stage, lagrange: float, frames: int, rule: rd.RdRule = rd.SPATIAL, real_mask: bool = False, area: int | None = None) -> tuple[DataFrame, dict]:
     """The cheapest codebook and threshold for these blocks: coded blocks and what the choice costs.
 
-    real_mask codes the mask with the adaptive binary coder in place of the estimate."""
+    real_mask adds mask_bits, the mask under the adaptive binary coder; r and the choice keep the estimate."""
     best, chosen = None, None
     for number, book in enumerate(stage.codebooks):
         quantised = quantise(blocks, book, stage.dims, area=area).persist()
