@@ -122,10 +122,16 @@ def bd_rate(rate1, psnr1, rate2, psnr2, piecewise: bool = False) -> float:
     return float(np.expm1(_mean_gap(p1, np.log(r1), p2, np.log(r2), piecewise)) * 100)
 
 
+ANCHOR_POINTS = 10_000
+"""Points of an anchor's curve, at most: they come to the driver."""
+
+
 def bd_table(points: DataFrame, anchor: str, piecewise: bool = False) -> DataFrame:
     """(model, bd_psnr, bd_rate) of each model's (bpp, mse) points against the anchor's."""
     psnr = points.withColumn("psnr", 10 * F.log10(F.lit(255.0**2) / F.col("mse")))
-    base = [(r.bpp, r.psnr) for r in psnr.where(F.col("model") == anchor).orderBy("bpp").limit(10_000).collect()]
+    base = [(r.bpp, r.psnr) for r in psnr.where(F.col("model") == anchor).orderBy("bpp").limit(ANCHOR_POINTS + 1).collect()]
+    if len(base) > ANCHOR_POINTS:
+        raise ValueError(f"the anchor's curve has more than {ANCHOR_POINTS} points")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         g = group.sort_values("bpp")

@@ -247,3 +247,9 @@ def test_overlap_and_distinct_shapes(frames):
         from blockloom.schema import check_dim
 
         check_dim(layout.unfold(frames, 2), "vec", 5).collect()
+
+
+def test_bd_table_refuses_a_longer_anchor(spark):
+    points = spark.range(10_001).selectExpr("'main' AS model", "(id + 1) / 1000 AS bpp", "1000 / (id + 1) AS mse")
+    with pytest.raises(ValueError, match="more than 10000 points"):
+        metrics.bd_table(points, "main")
