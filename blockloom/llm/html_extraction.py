@@ -182,7 +182,7 @@ def classify(blocks: list[Block], short: int = 70, long: int = 200, links: float
         listed = linked[i] and (any(linked[max(0, i - 1) : i]) or any(linked[i + 1 : i + 2]))
         if b.boiler or has_main and not b.main:
             b.label = -1
-        elif density > links and not has_main or listed and len(b.text) < long:
+        elif not has_main and (density > links or listed and len(b.text) < long):
             b.label = -1
         elif len(b.text) < short:
             b.label = 0

@@ -268,3 +268,9 @@ def test_license_scan_compares_whole_texts_headers_titles_and_wrapped_sentences(
     files = spark.createDataFrame([(i, f"{i}/x", t) for i, (_, t) in enumerate(cases)], "doc_id long, path string, text string")
     got = {r.doc_id: r.own_license for r in license_scan.scan(files).collect()}
     assert got == {i: name for i, (name, _) in enumerate(cases)}
+
+
+def test_main_text_keeps_link_lists_of_an_article():
+    page = "<nav><a href=x>Home</a></nav><article><p>" + "The sources of the report are in the list below. " * 6 + "</p><ul><li><a href=a>First source</a></li><li><a href=b>Second source</a></li></ul></article>"
+    text = main_text(page)
+    assert "First source" in text and "Second source" in text and "Home" not in text
