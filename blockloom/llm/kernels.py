@@ -6,8 +6,11 @@ work a slice at a time, so that memory follows the slice and not the longest tex
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 
 SLICE = 1 << 17
@@ -33,15 +36,16 @@ CACHES: dict = {}
 """What a reused Python worker keeps for the next task of the same operator; others drop it."""
 
 
-class _Hash:
-    """Polynomial hash over bytes modulo 2^64 with a random value for each byte, then mixed."""
+class ByteRolling:
+    """Polynomial hash over bytes modulo 2^64 with a random value for each byte; it picks anchors by
+    sums over a whole slice.  Unequal strings can be built that it takes for equal, so nothing may be
+    judged equal by it alone."""
 
     def __init__(self, seed: int):
         rng = np.random.default_rng(seed)
         self.values = rng.integers(1, 1 << 63, 256, dtype=_U) * _U(2) + _U(1)
         self.base = int(rng.integers(1 << 40, 1 << 63)) * 8 + 5 & (1 << 64) - 1
         self.inverse = pow(self.base, -1, 1 << 64)
-        self.step = int(rng.integers(1 << 40, 1 << 63)) * 8 + 3 & (1 << 64) - 1
         self._powers = (np.ones(1, _U), np.ones(1, _U))
 
     def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -56,7 +60,12 @@ class _Hash:
         return self._powers
 
 
-HASHES = (_Hash(11), _Hash(29))
+ROLLING = ByteRolling(11)
+LONG_WORD = 256
+"""Words of more bytes are hashed one by one."""
+_SEEDS = tuple(_U(x) for x in np.random.default_rng(29).integers(1, 1 << 63, 2, dtype=_U) * _U(2) + _U(1))
+_ODD = tuple(_U(x) for x in np.random.default_rng(31).integers(1, 1 << 63, 2, dtype=_U) * _U(2) + _U(1))
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], _U)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -99,32 +108,58 @@ def words(data: np.ndarray, offs: np.ndarray, table: np.ndarray) -> tuple[np.nda
 
 
 def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
-    h, out, i = HASHES[which], np.empty(len(starts), _U), 0
-    while i < len(starts):
-        low = starts[i]
-        j = int(np.searchsorted(starts, low + SLICE))
-        high = ends[j - 1]
-        up, down = h.powers(int(high - low))
-        sums = np.zeros(high - low + 1, _U)
-        np.cumsum(h.values[data[low:high]] * up[: high - low], out=sums[1:])
-        at = starts[i:j] - low
-        out[i:j] = (sums[ends[i:j] - low] - sums[at]) * down[at]
-        i = j
-    return mix(out)
+    """A 64-bit hash of each word's bytes; ``which`` picks one of two independent ones.
+
+    Eight bytes at a time are mixed into the hash so far, which is mixed again before the next eight
+    come, so that no pattern inside a word, such as repeats, cancels out.  Words over LONG_WORD bytes
+    go through xxh3."""
+    out = np.empty(len(starts), _U)
+    if not len(starts):
+        return out
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eights = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    for at in range(0, len(starts), 1 << 15):
+        begin = starts[at : at + (1 << 15)]
+        left = ends[at : at + (1 << 15)] - begin
+        state = left.astype(_U) * _ODD[which] + _SEEDS[which]
+        long = np.flatnonzero(left > LONG_WORD)
+        for i in long.tolist():
+            state[i] = xxhash.xxh3_64_intdigest(data[begin[i] : begin[i] + left[i]].tobytes(), seed=int(_SEEDS[which]))
+        rows = np.flatnonzero(left <= LONG_WORD) if len(long) else None
+        done = 0
+        while rows is None or len(rows):
+            n = (left if rows is None else left[rows]) - done
+            chunk = eights[(begin if rows is None else begin[rows]) + done] & _FIRST_BYTES[np.minimum(n, 8)]
+            mixed = mix((state if rows is None else state[rows]) ^ chunk * _ODD[which])
+            if rows is None:
+                state, rows = mixed, np.arange(len(begin))
+            else:
+                state[rows] = mixed
+            more = n > 8
+            rows, done = rows[more], done + 8
+        out[at : at + len(begin)] = state
+    return out
 
 
 def window_hashes(hashed: np.ndarray, first: np.ndarray, k: int, which: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each run of k words inside one text: its hash, its first word and its text's number."""
+    """For each run of k words inside one text: its hash, its first word and its text's number.
+
+    Runs of 2, 4, 8, ... words are made of two halves, and a run of k of those in k's binary digits;
+    the left part is mixed before the right one is added, so that repeats don't cancel out."""
     n = len(hashed) - k + 1
     if n <= 0:
         return np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    step, total = _U(HASHES[which].step), np.zeros(n, _U)
-    for j in range(k):
-        total *= step
-        total += hashed[j : j + n]
+    total, done, part, size = None, 0, hashed, 1
+    while size <= k:
+        if k & size:
+            piece = part[done : done + n]
+            total = piece if total is None else mix(total) * _ODD[which] + piece
+            done += size
+        if 2 * size <= k:
+            part = mix(part[:-size]) * _SEEDS[which] + part[size:]
+        size *= 2
     counts = np.diff(first)
-    whole = np.arange(len(hashed)) + k <= np.repeat(first[1:], counts)
+    whole = np.arange(n) + k <= np.repeat(first[1:], counts)[:n]
     at = np.flatnonzero(whole)
     return mix(total[at]), at, np.repeat(np.arange(len(counts)), counts)[at]
 
@@ -178,3 +213,12 @@ def pack_bits(mask: np.ndarray) -> bytes:
 
 def unpack_bits(blob: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8), count=n).astype(bool)
+
+
+def release() -> None:
+    """Gives back to the machine what this process has freed; a reused worker would keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return

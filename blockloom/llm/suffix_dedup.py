@@ -108,7 +108,7 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray
     empty = np.zeros(0, np.int64)
     if n_strings <= 0:
         return empty, np.zeros(0, _U), empty, empty
-    h, place_bits, piece = K.HASHES[0], 21, 1 << 17
+    h, place_bits, piece = K.ROLLING, 21, 1 << 17
     places, hashes, lows, highs = [], [], [], []
     filled = np.flatnonzero(offs[1:] - offs[:-1] >= length)
     inside = np.zeros(len(data) + 1, np.int8)
