@@ -163,7 +163,7 @@ def test_plan_is_optimal_on_small_instances():
         counts = Counter(rng.randint(1, capacity) for _ in range(rng.randint(0, 11)))
         made = packing.plan(counts, capacity)
         held = Counter()
-        for items, n in made:
+        for items, n in made.patterns:
             assert sum(items) <= capacity
             held.update({s: k * n for s, k in Counter(items).items()})
         assert held == counts
@@ -184,7 +184,54 @@ def test_plan_is_optimal_on_small_instances():
             go(i + 1, [*bins, items[i]])
 
         go(0, [])
-        assert sum(n for _, n in made) == best[0]
+        assert made.sequences == best[0] >= made.bound
+
+
+def covers(counts, capacity):
+    """The fewest sequences for two sizes, by trying how many hold each maximal mix (an exact solver of its own)."""
+    (a, na), (b, nb) = sorted(counts.items())
+    mixes = [(i, (capacity - a * i) // b) for i in range(capacity // a + 1)]
+    best = {(0, 0): 0}
+    frontier, used = {(0, 0)}, 0
+    while (na, nb) not in best:
+        used += 1
+        frontier = {(min(na, x + i), min(nb, y + j)) for x, y in frontier for i, j in mixes}
+        frontier = {p for p in frontier if not any(q != p and q[0] >= p[0] and q[1] >= p[1] for q in frontier)}
+        best.update(dict.fromkeys(frontier, used))
+    return best[na, nb]
+
+
+def test_plan_with_many_items_a_sequence():
+    rng = random.Random(6)
+    assert packing.plan({130: 700, 117: 700}).sequences <= 86  # best fit takes 88, 85 is possible
+    many = packing.plan({150: 3_000, 139: 3_000})
+    assert many.sequences == many.bound == 429 and many.proven
+    for _ in range(12):
+        counts = dict(zip(rng.sample(range(68, 137), 2), (rng.randint(10, 60), rng.randint(10, 60))))  # 15 to 30 items
+        made = packing.plan(counts)
+        assert made.bound <= made.sequences <= covers(counts, 2048) + 1 and (made.sequences == covers(counts, 2048) or not made.proven)
+
+
+def test_fillings_are_those_no_larger_item_can_replace():
+    rng = random.Random(9)
+    for _ in range(200):
+        room = rng.randint(1, 24)
+        left = Counter(rng.randint(1, 24) for _ in range(rng.randint(0, 9)))
+        every = {()}
+        for x in sorted(left.elements()):
+            every |= {tuple(sorted((*s, x), reverse=True)) for s in every if sum(s) + x <= room}
+
+        def replaceable(s):
+            slack, rest = room - sum(s), left - Counter(s)
+            subsets = {()}
+            for x in s:
+                subsets |= {(*q, x) for q in subsets}
+            return any(sum(q) <= x <= sum(q) + slack and q != (x,) for q in subsets for x in rest)
+
+        want = {s for s in every if not replaceable(s)}
+        got = list(packing.fillings(sorted(left), left, room, room))
+        assert len(got) == len(set(got)) and {s for s, _ in got} == want
+        assert [w for _, w in got] == sorted(room - sum(s) for s in want)
 
 
 def test_packing_round_trip(spark):
