@@ -9,6 +9,7 @@ import math
 import re
 from collections import Counter
 from functools import cache, reduce
+from itertools import accumulate
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,6 +51,8 @@ STEPS = 10
 WORD = "[0-9a-z]+"
 # Words of ordinary prose, which tell nothing about licenses; only speed depends on them.
 PROSE = frozenset("a all an and any are as at be but by can do each for from had has have how if in into is it its may more must no not of on one only or other our out shall so such than that the their them then there these they this those to under up use was we were what when where which who will with would you your".split())
+FEW_TERMS = 130
+"""Templates of more terms are looked for by the number of their terms that a text holds."""
 MAX_TERMS = 20_000
 """Terms of all templates together, at most: their weights travel in the plan."""
 
@@ -100,8 +103,9 @@ def line_scores(files: DataFrame, templates: dict[str, str], threshold: float) -
     idf, other, norm = weights(templates)
     lines = files.select("_key", F.posexplode(F.split("_text", "\n")).alias("line_no", "line"))
     known = F.array(*[F.lit(w) for w in sorted(idf)])
-    lines = lines.withColumn("terms", F.regexp_extract_all(F.lower("line"), F.lit(WORD), F.lit(0))).where(F.arrays_overlap("terms", known))
-    lines = lines.withColumn("hits", F.array_intersect("terms", known))
+    lines = lines.where(F.lower("line").rlike(one_of({x for w in norm.values() for x in needed(w, threshold)})))
+    lines = _once(lines, "terms", F.regexp_extract_all(F.lower("line"), F.lit(WORD), F.lit(0)))
+    lines = _once(lines, "hits", F.array_intersect("terms", known))
     held = []
     for name in sorted(norm):
         square = _literals({w: v * v for w, v in norm[name].items()})
@@ -132,36 +136,70 @@ def _lookup(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     return F.broadcast(spark.range(0, 1, 1, 1).select(F.explode(_constant(rows, f"array<struct<{schema}>>")).alias("s")).select("s.*"))
 
 
-def candidates(rows: DataFrame, families: dict[str, dict[str, dict[str, float]]], threshold: float) -> DataFrame:
-    """The rows that can hold a text, stretch or line scoring the threshold, with _terms and the
-    templates in question (_fits, as family:name).
+def needed(weights_of: dict[str, float], threshold: float) -> list[str]:
+    """Terms of a template of which every text that scores the threshold holds at least one.
 
     What scores c holds terms of at least c * c of the template's squared weight (Cauchy's
-    inequality), so a text that doesn't is left out, whatever its lines are.  Only some terms of a
-    template are looked for; the others count as held, so that loses no text."""
-    looked = {}
+    inequality), so it can't lack all of a set that weighs more than the rest."""
+    held, out = 0.0, []
+    for x in sorted(weights_of, key=lambda x: (x in PROSE, -weights_of[x], x)):
+        if held > 1 - threshold * threshold + 1e-9:
+            break
+        held += weights_of[x] ** 2
+        out.append(x)
+    return out
+
+
+def one_of(terms: set[str]) -> str:
+    """A pattern that finds any of the terms as a whole word of lower-cased text, as a tree of letters:
+    its time doesn't grow with the number of terms."""
+
+    def branch(words: list[str]) -> str:
+        by_letter: dict[str, list[str]] = {}
+        for w in words:
+            by_letter.setdefault(w[:1], []).append(w[1:])
+        ends = by_letter.pop("", None)
+        parts = [letter + branch(rest) for letter, rest in sorted(by_letter.items())]
+        if not parts:
+            return ""
+        return "(?:" + "|".join(parts) + ")" + ("?" if ends else "")
+
+    return "(?<![0-9a-z])" + branch(sorted(terms)) + "(?![0-9a-z])"
+
+
+def candidates(rows: DataFrame, families: dict[str, dict[str, dict[str, float]]], threshold: float) -> DataFrame:
+    """The rows that can hold a text, stretch or line scoring the threshold, with _terms, _n (a number
+    of the row) and the templates in question (_fits, as family:name).
+
+    Of whole texts only patterns are asked at first: one of the needed terms of a template of few
+    terms, or as many terms of one of many as that share of its weight takes at least.  Texts that
+    pass are cut into words and weighed.  Only some terms of a template are looked for; the others
+    count as held, so that neither step loses a text."""
+    spark, looked, some, many, least_many = rows.sparkSession, [], set(), set(), []
     for family, norm in families.items():
         for name, w in norm.items():
-            ordered, held, part = sorted(w, key=lambda x: (x in PROSE, -w[x], x)), 0.0, {}
-            for x in ordered:
+            held, part = 0.0, {}
+            for x in sorted(w, key=lambda x: (x in PROSE, -w[x], x)):
                 if held >= (0.6 if len(w) > 60 else 0.95):
                     break
                 part[x] = w[x] ** 2
                 held += part[x]
-            looked[f"{family}:{name}"] = (part, threshold * threshold - (1 - held) - 1e-9)
-    keys = sorted(looked)
-    shares = {x: [looked[k][0].get(x, 0.0) for k in keys] for x in sorted({x for part, _ in looked.values() for x in part})}
-    least = [looked[k][1] for k in keys]
-    # No template's sum reaches its least before the sum of each term's largest part of any least is 1.
-    most = {x: max(v / m for v, m in zip(vs, least, strict=True)) for x, vs in shares.items()}
-    out = _once(rows, "_terms", F.regexp_extract_all(F.lower("_text"), F.lit(WORD), F.lit(0)))
-    out = _once(out, "_hits", F.array_intersect("_terms", _constant(sorted(shares), "array<string>")))
-    some = F.aggregate("_hits", F.lit(0.0), lambda a, x: a + F.element_at(_constant(most, "map<string, double>"), x))
-    out = out.where((F.size("_hits") > 0) & (some >= 1 - 1e-6))
-    sums = F.aggregate("_hits", F.array_repeat(F.lit(0.0), len(keys)), lambda a, x: F.zip_with(a, F.element_at(_constant(shares, "map<string, array<double>>"), x), lambda c, d: c + d))
-    out = _once(out, "_held", sums)
-    fits = F.filter(_constant([{"fit": k, "at": i, "least": m} for i, (k, m) in enumerate(zip(keys, least, strict=True))], "array<struct<fit: string, at: int, least: double>>"), lambda s: F.get(F.col("_held"), s["at"]) >= s["least"])
-    return out.withColumn("_fits", F.transform(fits, lambda s: s["fit"])).where(F.size("_fits") > 0).drop("_hits", "_held")
+            least = threshold * threshold - (1 - held) - 1e-9
+            looked += [{"term": x, "fit": f"{family}:{name}", "share": v, "least": least} for x, v in part.items()]
+            if len(w) <= FEW_TERMS:
+                some |= set(needed(w, threshold))
+            else:
+                many |= set(part)
+                sums = accumulate(sorted(part.values(), reverse=True))
+                least_many.append(1 + sum(v < least for v in sums))
+    low = F.lower("_text")
+    pass_ = low.rlike(one_of(some)) if some else F.lit(False)
+    if many:
+        pass_ = pass_ | (F.regexp_count(low, F.lit(one_of(many))) >= min(least_many))
+    read = written(rows.where(pass_).select(F.monotonically_increasing_id().alias("_n"), "*", F.regexp_extract_all(low, F.lit(WORD), F.lit(0)).alias("_terms")), "license-reads")
+    hits = read.select("_n", F.explode(F.array_distinct("_terms")).alias("term")).join(_lookup(spark, looked, "term string, fit string, share double, least double"), "term")
+    sums = hits.groupBy("_n", "fit").agg(F.sum("share").alias("share"), F.first("least").alias("least")).where("share >= least")
+    return read.join(sums.groupBy("_n").agg(F.collect_set("fit").alias("_fits")), "_n")
 
 
 def stretch_scores(texts: DataFrame, family: str, templates: dict[str, str], threshold: float, damped: bool, whole: bool) -> DataFrame:
@@ -217,7 +255,7 @@ def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_
     families = {k: v for k, v in families.items() if v[0]}
     held = candidates(rows.where("_text is not null"), {k: weights(*v)[2] for k, v in families.items()}, threshold)
     # One row is one text: rows that repeat a key are scored apart and judged together.
-    held = written(held.withColumn("_key", F.struct(F.monotonically_increasing_id().alias("n"), F.col("_key").alias("k"))), "license-texts")
+    held = written(held.withColumn("_key", F.struct(F.col("_n").alias("n"), F.col("_key").alias("k"))).drop("_n"), "license-texts")
     of = lambda family: held.where(F.exists("_fits", lambda x: x.startswith(family + ":")))
     found = []
     if "text" in families:
@@ -243,13 +281,16 @@ def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_
 
 
 def document_paths(docs: DataFrame) -> DataFrame:
-    """documents as a tree of files: source/lang/shelf/file, the license-bearing short texts being LICENSE files.
+    """documents as a tree of files: source/lang/shelf/file, some license files higher up.
 
-    The tables have no paths; a file that is nothing but a few lines (at most 40 words) is named
-    LICENSE.<doc_id>, the others <doc_id>.txt; a shelf holds a hundred ids."""
-    short = F.coalesce(F.size(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))) <= 40, F.lit(False))
+    The tables have no paths.  A file that is nothing but a few lines (at most 40 words) is named
+    LICENSE.<doc_id>, the others <doc_id>.txt; a shelf holds a hundred ids.  Of the LICENSE files those
+    whose id ends in 0 lie in source, those whose id ends in 1 in source/lang."""
+    short = F.coalesce(~F.col("text").rlike("^(?:[^0-9A-Za-z]*+[0-9A-Za-z]++){41}"), F.lit(False))
     name = F.when(short, F.concat(F.lit("LICENSE."), F.col("doc_id").cast("string"))).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    return docs.select("doc_id", F.concat_ws("/", "source", "lang", F.expr("cast(doc_id div 100 as string)"), name).alias("path"), "text")
+    shelf = F.when(~short | ~F.coalesce(F.col("doc_id") % 10 <= 1, F.lit(False)), F.expr("cast(doc_id div 100 as string)"))
+    lang = F.when(~short | ~F.coalesce(F.col("doc_id") % 10 == 0, F.lit(False)), F.col("lang"))
+    return docs.select("doc_id", F.concat_ws("/", "source", lang, shelf, name).alias("path"), "text")
 
 
 def template_table(spark: SparkSession, templates: dict[str, str] | None = None) -> DataFrame:

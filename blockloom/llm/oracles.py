@@ -71,17 +71,19 @@ WITH t AS (SELECT * FROM {_TEMPLATES} v(license, body)),
 tw AS (SELECT license, term, count(*) AS tf FROM (SELECT license, unnest(regexp_extract_all(lower(body), '[0-9a-z]+')) AS term FROM t) GROUP BY ALL),
 idf AS (SELECT term, 1 + ln((1 + (SELECT count(*) FROM t)) / (1.0 + count(*))) AS idf FROM tw GROUP BY term),
 tn AS (SELECT license, term, tf * idf / sqrt(sum(tf * tf * idf * idf) OVER (PARTITION BY license)) AS w FROM tw JOIN idf USING (term)),
-f AS (SELECT doc_id, text, source || '/' || lang || '/' || CAST(doc_id // 100 AS VARCHAR) AS dir, coalesce(len(regexp_extract_all(lower(text), '[0-9a-z]+')) <= 40, false) AS lic FROM documents),
-p AS (SELECT *, dir || '/' || CASE WHEN lic THEN 'LICENSE.' || doc_id ELSE doc_id || '.txt' END AS path FROM f),
+f AS (SELECT doc_id, text, source, lang, coalesce(len(regexp_extract_all(lower(text), '[0-9a-z]+')) <= 40, false) AS lic FROM documents),
+p AS (SELECT *, concat_ws('/', source, CASE WHEN lic AND doc_id % 10 = 0 THEN NULL ELSE lang END, CASE WHEN lic AND doc_id % 10 <= 1 THEN NULL ELSE CAST(doc_id // 100 AS VARCHAR) END) AS dir FROM f),
+q AS (SELECT doc_id, dir, dir || '/' || CASE WHEN lic THEN 'LICENSE.' || doc_id ELSE doc_id || '.txt' END AS path FROM p),
 l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS line_no FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM p)),
 lw AS (SELECT doc_id, line_no, term, count(*) AS tf FROM (SELECT doc_id, line_no, unnest(regexp_extract_all(lower(line), '[0-9a-z]+')) AS term FROM l) GROUP BY ALL),
 x AS (SELECT doc_id, line_no, term, tf * coalesce(idf, 1 + ln(1.0 + (SELECT count(*) FROM t))) AS w FROM lw LEFT JOIN idf USING (term)),
 n AS (SELECT doc_id, line_no, sqrt(sum(w * w)) AS len FROM x GROUP BY ALL),
 c AS (SELECT x.doc_id, license, sum(x.w * tn.w) / any_value(len) AS score FROM x JOIN tn USING (term) JOIN n ON n.doc_id = x.doc_id AND n.line_no = x.line_no GROUP BY x.doc_id, x.line_no, license),
 o AS (SELECT doc_id, license AS own_license, s AS own_score FROM (SELECT doc_id, license, round(score, 9) AS s, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, license) AS k FROM c WHERE score >= 0.8) WHERE k = 1),
-d AS (SELECT dir, own_license AS dir_license FROM (SELECT dir, own_license, row_number() OVER (PARTITION BY dir ORDER BY own_score DESC, own_license) AS k FROM p JOIN o USING (doc_id) WHERE lic) WHERE k = 1)
-SELECT p.doc_id, p.path, own_license, own_score, coalesce(own_license, dir_license) AS license, CASE WHEN own_license IS NULL AND dir_license IS NOT NULL THEN p.dir END AS inherited_from
-FROM p LEFT JOIN o USING (doc_id) LEFT JOIN d ON d.dir = p.dir
+d AS (SELECT dir, own_license AS dir_license FROM (SELECT dir, own_license, row_number() OVER (PARTITION BY dir ORDER BY own_score DESC, own_license) AS k FROM p JOIN o USING (doc_id) WHERE lic) WHERE k = 1),
+u AS (SELECT doc_id, d.dir, dir_license FROM q JOIN d ON q.path LIKE d.dir || '/%' QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length(d.dir) DESC) = 1)
+SELECT q.doc_id, q.path, own_license, own_score, coalesce(own_license, dir_license) AS license, CASE WHEN own_license IS NULL THEN u.dir END AS inherited_from
+FROM q LEFT JOIN o USING (doc_id) LEFT JOIN u USING (doc_id)
 """
 
 ORACLE["op9_minhash_near_dedup"] = f"""
