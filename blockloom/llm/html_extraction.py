@@ -1,7 +1,8 @@
 """Main text of web pages by two-pass block rules.
 
 A page is cut into blocks at block-level tags.  The first pass decides blocks by stop-word density,
-length, link density and the region they stand in; the second gives each ambiguous short block the
+length and link density, in every region; names of elements tell boilerplate, and a main region that
+is believed only if most of the good text lies in it.  The second pass gives each block left open the
 label of its nearest decided neighbours.
 """
 
@@ -9,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,7 +22,8 @@ from blockloom.llm.shared import two_columns
 
 # Names of HTML elements, and words of class, id and role values.
 _RAW = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "textarea", "select", "canvas", "audio", "video")
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<tag>[A-Za-z][A-Za-z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+_NAME = re.compile(r"[A-Za-z][A-Za-z0-9:-]*")
+_MARK = re.compile(r"[>\"']")
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.I) for t in (*_RAW, "title")}
 _ATTR = re.compile(r"([A-Za-z_:][\w:.-]*)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -77,11 +80,94 @@ def _kind(tag: str, attrs: str) -> tuple[bool, bool]:
     return main and not boiler, boiler
 
 
+class _Reader:
+    """Cuts a page into texts and tags from left to right; no character is looked at more than a few times.
+
+    A quote opens a value only after an equals sign, and one that never closes opens none."""
+
+    def __init__(self, page: str):
+        self.page, self.at = page, 0
+        self.unclosed: set[str] = set()
+
+    def _tag_end(self, at: int) -> int:
+        """Where the tag whose name ends at ``at`` has its '>', or the page its end."""
+        page = self.page
+        while m := _MARK.search(page, at):
+            mark, at = m[0], m.end()
+            if mark == ">":
+                return at - 1
+            if mark in self.unclosed or page[m.start() - 1] != "=" and not page[max(0, m.start() - 20) : m.start()].rstrip().endswith("="):
+                continue
+            close = page.find(mark, at)
+            if close < 0:
+                self.unclosed.add(mark)
+            else:
+                at = close + 1
+        return len(page)
+
+    def __iter__(self) -> Iterator[tuple[str, str, str]]:
+        """(kind, value, attributes): text, open or close; comments and declarations are left out."""
+        page, begin = self.page, 0
+        while (lt := page.find("<", max(self.at, begin))) >= 0:
+            after = page[lt + 1 : lt + 2]
+            name = _NAME.match(page, lt + 2 if after == "/" else lt + 1) if after else None
+            if not name and after not in ("!", "?"):
+                self.at = lt + 1  # a bare '<' is text
+                continue
+            if lt > begin:
+                yield "text", page[begin:lt], ""
+            if name:
+                end = self._tag_end(name.end())
+                begin = self.at = end + 1
+                yield "close" if after == "/" else "open", name[0].lower(), page[name.end() : end]
+                begin = max(begin, self.at)
+                continue
+            opened, closed = next((x for x in (("<!--", "-->"), ("<![CDATA[", "]]>")) if page.startswith(x[0], lt)), (page[lt : lt + 2], ">"))
+            end = page.find(closed, lt + len(opened))
+            if opened == "<![CDATA[":
+                yield "text", page[lt + len(opened) : end if end >= 0 else len(page)], ""
+            begin = self.at = len(page) if end < 0 else end + len(closed)
+        if begin < len(page):
+            yield "text", page[begin:], ""
+
+    def skip_to(self, closing: re.Pattern) -> None:
+        """Goes on after the closing tag of an element whose content isn't read."""
+        m = closing.search(self.page, self.at)
+        self.at = m.end() if m else len(self.page)
+
+
+class _Open:
+    """The elements that are open, with counts of what they are."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, bool, bool]] = []  # tag, main, boiler
+        self.tags: Counter[str] = Counter()
+        self.main = self.boiler = 0
+
+    def push(self, tag: str, main: bool, boiler: bool) -> None:
+        self.stack.append((tag, main, boiler))
+        self.tags[tag] += 1
+        self.main += main
+        self.boiler += boiler
+
+    def pop(self) -> str:
+        tag, main, boiler = self.stack.pop()
+        self.tags[tag] -= 1
+        self.main -= main
+        self.boiler -= boiler
+        return tag
+
+    def close(self, tag: str) -> None:
+        if self.tags[tag]:
+            while self.pop() != tag:
+                pass
+
+
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks in order, with the regions they stand in."""
     out: list[Block] = []
     pieces: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, main, boiler
+    open_, reader = _Open(), _Reader(page)
     link = [0, 0]  # depth of <a>, characters within
     heading, breaks = False, 0
 
@@ -89,50 +175,31 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal pieces
         text = " ".join(html.unescape("".join(pieces)).split())
         if text:
-            boiler, main = False, False
-            for tag, m, b in stack:
-                main, boiler = main or m, boiler or b
-            if any(t[0] == "header" for t in stack):
-                boiler = boiler or not (main and heading)
+            main = open_.main > 0
+            boiler = open_.boiler > 0 or open_.tags["header"] > 0 and not (main and heading)
             out.append(Block(text, min(link[1], len(text)), main, boiler, heading))
         pieces, link[1] = [], 0
 
-    def say(text: str) -> None:
-        nonlocal breaks
-        if text:
-            pieces.append(text)
-            if not text.isspace():
+    for kind, value, attrs in reader:
+        if kind == "text":
+            pieces.append(value)
+            if not value.isspace():
                 breaks = 0
             if link[0]:
-                link[1] += len(" ".join(text.split()))
-
-    at, end = 0, len(page)
-    while at < end:
-        m = _TOKEN.search(page, at)
-        if not m:
-            say(page[at:])
-            break
-        say(page[at : m.start()])
-        at = m.end()
-        if m["cdata"] is not None:
-            say(m["cdata"])
-        if not m["tag"]:
+                link[1] += len(" ".join(value.split()))
             continue
-        tag = m["tag"].lower()
-        if m["close"]:
+        tag = value
+        if kind == "close":
             if tag == "a":
                 link[0] = max(0, link[0] - 1)
-            elif tag not in _INLINE or any(s[0] == tag for s in stack):
+            elif tag not in _INLINE or open_.tags[tag]:
                 flush()
                 if tag in _HEADINGS:
                     heading = False
-            if any(s[0] == tag for s in stack):
-                while stack.pop()[0] != tag:
-                    pass
+            open_.close(tag)
             continue
-        if tag in _RAW_END and not m["attrs"].endswith("/"):
-            closing = _RAW_END[tag].search(page, at)
-            at = closing.end() if closing else end
+        if tag in _RAW_END and not attrs.endswith("/"):
+            reader.skip_to(_RAW_END[tag])
             continue
         if tag == "br":
             breaks += 1
@@ -141,13 +208,13 @@ def blocks_of(page: str) -> list[Block]:
             else:
                 pieces.append("\n")
             continue
-        main, boiler = _kind(tag, m["attrs"])
+        main, boiler = _kind(tag, attrs)
         if tag == "a":
-            link[0] += not m["attrs"].endswith("/")
+            link[0] += not attrs.endswith("/")
         if tag in _INLINE:
             if boiler and tag != "a" and tag not in _VOID:
                 flush()
-                stack.append((tag, main, boiler))
+                open_.push(tag, main, boiler)
             continue
         flush()
         if tag in _VOID:
@@ -157,13 +224,12 @@ def blocks_of(page: str) -> list[Block]:
             heading = tag in _HEADINGS
         elif tag not in ("header", "hgroup", "div"):
             heading = False
-        while stack and stack[-1][0] in _LEAVES and (stack[-1][0] == tag or stack[-1][0] == "p" or stack[-1][0] in _HEADINGS):
-            stack.pop()
+        while open_.stack and open_.stack[-1][0] in _LEAVES and (open_.stack[-1][0] == tag or open_.stack[-1][0] == "p" or open_.stack[-1][0] in _HEADINGS):
+            open_.pop()
         if tag == "body":
-            stack.clear()
-        if main or boiler or tag not in _LEAVES or tag == "li":
-            if not m["attrs"].endswith("/"):
-                stack.append((tag, main, boiler))
+            open_ = _Open()
+        if (main or boiler or tag not in _LEAVES or tag == "li") and not attrs.endswith("/"):
+            open_.push(tag, main, boiler)
     flush()
     return out
 
@@ -174,40 +240,55 @@ def stop_density(text: str) -> float:
 
 
 def classify(blocks: list[Block], short: int = 70, long: int = 200, links: float = 0.5, stop_low: float = 0.1, stop_high: float = 0.2) -> None:
-    """Labels the blocks in place."""
-    has_main = any(b.main and not b.boiler for b in blocks)
+    """Labels the blocks in place.
+
+    First pass: blocks of boilerplate elements are bad.  Of the others, in whatever region, those are
+    good that have stop words enough for their length, and those bad that are made of links, or are
+    long, partly links and without stop words; the rest, short ones above all, stays open.  A region
+    named as the main one is believed if it holds at least half of the good text (of all text, where
+    there is none good): then what lies outside is bad.
+    Second pass: open blocks take the label of the nearest decided neighbours of their region, and of
+    two that differ the good one inside a believed region.  A believed region without any decided
+    block is good."""
+    good = [0, 0]
+    whole = [0, 0]
     linked = [b.link_chars > 0.9 * len(b.text) for b in blocks]
     for i, b in enumerate(blocks):
-        density = b.link_chars / len(b.text)
-        listed = linked[i] and (any(linked[max(0, i - 1) : i]) or any(linked[i + 1 : i + 2]))
-        if b.boiler or has_main and not b.main:
+        if b.boiler:
             b.label = -1
-        elif not has_main and (density > links or listed and len(b.text) < long):
+            continue
+        n, density, stops = len(b.text), b.link_chars / len(b.text), stop_density(b.text)
+        listed = linked[i] and (any(linked[max(0, i - 1) : i]) or any(linked[i + 1 : i + 2]))
+        if n >= short and (density > links or n >= long and density > 0.2) and stops < stop_low / 2 or not b.main and (density > links or listed and n < long):
             b.label = -1
-        elif len(b.text) < short:
-            b.label = 0
-        elif has_main or len(b.text) >= long and stop_density(b.text) >= stop_low or stop_density(b.text) >= stop_high:
+        elif n >= short and stops >= stop_high or n >= long and stops >= stop_low:
             b.label = 1
-        elif len(b.text) >= long and stop_density(b.text) < stop_low / 2 and density > 0.2:
+        whole[b.main] += n
+        good[b.main] += n * (b.label > 0)
+    believed = whole[1] > 0 and (good[1] >= good[0] if any(good) else whole[1] >= whole[0])
+    inside = [not b.boiler and (b.main or not believed) for b in blocks]
+    for b, i in zip(blocks, inside):
+        if not i:
             b.label = -1
+    n = len(blocks)
     decided = [b.label for b in blocks]
-    before, last, n = [], (0, 0), len(blocks)
-    for i, d in enumerate(decided):
-        before.append(last)
-        if d and not (blocks[i].boiler and has_main):
-            last = (d, i)
-    after, last = [(0, 0)] * n, (0, 0)
+    before, after, last = [(0, 0)] * n, [(0, 0)] * n, (0, 0)
+    for i in range(n):
+        before[i] = last
+        if decided[i] and (inside[i] or not believed):
+            last = (decided[i], i)
+    last = (0, 0)
     for i in range(n - 1, -1, -1):
         after[i] = last
-        if decided[i] and not (blocks[i].boiler and has_main):
+        if decided[i] and (inside[i] or not believed):
             last = (decided[i], i)
     for i, b in enumerate(blocks):
         if b.label == 0:
             (left, li), (right, ri) = before[i], after[i]
             if left == right:
                 b.label = left or 1
-            elif b.main or b.heading and right == 1:
-                b.label = 1
+            elif believed and b.main or b.heading and right == 1:
+                b.label = max(left, right) or 1
             elif not left or not right:
                 b.label = left or right
             else:
