@@ -1,9 +1,9 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule is a vectorised predicate over the statistics of a batch of texts.  On a sample the cost of
-each rule and the share it rejects are measured; the cascade then runs the rules in the order of
-rejections per cost, each only over the rows that no earlier rule rejected.  The verdict does not
-depend on the order.
+Each rule compares statistics of a text.  On a sample the cost of each rule and the share it rejects
+are measured; the cascade then runs the rules in the order of rejections per cost, and computes a
+rule's statistics only for the texts that no earlier rule rejected.  The verdict does not depend on
+the order.  A caller that wants all statistics has the rest of them computed after the verdict.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockloom.llm import kernels as K
+from blockloom.llm.blocks import BLOCK_BYTES, slices
 from blockloom.llm.shared import two_columns
 
 SAMPLE_ROWS = 2_000
 """Rows on which costs and selectivities are estimated, at most."""
+SAMPLE_TEXT_BYTES = 16_384
+"""Longer texts take no part in the estimate, so that the sample stays within 32 MB; all are judged."""
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -32,18 +36,41 @@ _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 
 
 class Texts:
-    """A batch of texts; statistics are computed when a rule first asks, for the rows still alive."""
+    """A batch of texts, cut into words once.  A statistic is computed when a rule first asks for it, for
+    the rows it asks for, and kept, so no rule and no later reader computes it again."""
 
-    def __init__(self, data: np.ndarray, offs: np.ndarray):
+    def __init__(self, data: np.ndarray, offs: np.ndarray, found: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None):
         self.data, self.offs = data, offs
-        self.starts, self.ends, self.first = K.words(data, offs, K.NOT_SPACE)
-        self.n_words = np.diff(self.first)
+        self.starts, self.ends, self.first = found or K.words(data, offs, K.NOT_SPACE)
+        self.known: dict[str, tuple[np.ndarray, np.ndarray]] = {}  # values, and for which rows they stand
+        self._part: tuple[np.ndarray, Texts] | None = None
+
+    def __len__(self) -> int:
+        return len(self.offs) - 1
 
     def take(self, rows: np.ndarray) -> Texts:
-        parts = [self.data[self.offs[i] : self.offs[i + 1]] for i in rows]
-        return Texts(np.concatenate(parts) if parts else self.data[:0], np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64))
+        """Some rows, ascending, as a batch of their own; their words are not looked for again."""
+        if len(rows) == len(self):
+            return self
+        if self._part is None or not np.array_equal(self._part[0], rows):
+            sizes, n_words = np.diff(self.offs)[rows], np.diff(self.first)[rows]
+            offs, first = (np.concatenate(([0], np.cumsum(x))) for x in (sizes, n_words))
+            byte, word = (np.arange(o[-1]) + np.repeat(whole[rows] - o[:-1], n) for o, whole, n in ((offs, self.offs, sizes), (first, self.first, n_words)))
+            moved = np.repeat(offs[:-1] - self.offs[rows], n_words)
+            self._part = rows, Texts(self.data[byte], offs, (self.starts[word] + moved, self.ends[word] + moved, first))
+        return self._part[1]
+
+    def get(self, name: str, rows: np.ndarray) -> np.ndarray:
+        """A statistic of some rows."""
+        values, have = self.known.setdefault(name, (np.zeros(len(self), np.int64), np.zeros(len(self), bool)))
+        lacking = rows[~have[rows]]
+        if len(lacking):
+            values[lacking] = STATISTICS[name](self.take(lacking))
+            have[lacking] = True
+        return values[rows]
 
     def count(self, table: np.ndarray) -> np.ndarray:
+        """Bytes of a table's kind in each text."""
         sums = np.concatenate(([0], np.cumsum(table[self.data])))
         return sums[self.offs[1:]] - sums[self.offs[:-1]]
 
@@ -51,14 +78,15 @@ class Texts:
         heads = np.concatenate(([0], np.cumsum(K.NOT_SPACE[self.data] & ((self.data & 0xC0) != 0x80))))
         return heads[self.offs[1:]] - heads[self.offs[:-1]]
 
-    def dup_lines(self) -> tuple[np.ndarray, np.ndarray]:
-        """Lines that equal an earlier line of their text, and lines; only lines with a word count."""
-        dup, all_ = np.zeros(len(self.n_words), np.int64), np.zeros(len(self.n_words), np.int64)
+    @cached_property
+    def lines(self) -> tuple[np.ndarray, np.ndarray]:
+        """Lines with a word, and those of them that equal an earlier line of their text."""
+        dup, all_ = np.zeros(len(self), np.int64), np.zeros(len(self), np.int64)
         raw = self.data.tobytes()
         for i, (a, b) in enumerate(zip(self.offs[:-1].tolist(), self.offs[1:].tolist())):
             lines = [x for x in raw[a:b].split(b"\n") if x and not x.isspace()]
             all_[i], dup[i] = len(lines), len(lines) - len(set(lines))
-        return dup, all_
+        return all_, dup
 
     def repeat_words(self) -> np.ndarray:
         """Words in 3-word windows that their text holds twice or more."""
@@ -73,10 +101,29 @@ class Texts:
         return sums[self.first[1:]] - sums[self.first[:-1]]
 
 
+STATISTICS: dict[str, Callable[[Texts], np.ndarray]] = {
+    "n_words": lambda t: np.diff(t.first),
+    "n_bytes": lambda t: np.diff(t.offs),
+    "word_chars": lambda t: t.word_chars(),
+    "n_symbols": lambda t: t.count(_SYMBOL),
+    "n_upper": lambda t: t.count(_UPPER),
+    "n_letters": lambda t: t.count(_LETTER),
+    "n_lines": lambda t: t.lines[0],
+    "n_dup_lines": lambda t: t.lines[1],
+    "n_repeat_words": lambda t: t.repeat_words(),
+}
+
+
 @dataclass(frozen=True)
 class Rule:
+    """Rejects rows by some statistics, which come in the order they are named."""
+
     name: str
-    rejects: Callable[[Texts], np.ndarray]
+    needs: tuple[str, ...]
+    rejects: Callable[..., np.ndarray]
+
+    def __call__(self, texts: Texts, rows: np.ndarray) -> np.ndarray:
+        return self.rejects(*[texts.get(n, rows) for n in self.needs])
 
 
 def _share(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
@@ -84,39 +131,43 @@ def _share(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
 
 
 RULES = (
-    Rule("few_words", lambda t: t.n_words < 50),
-    Rule("symbols_to_words", lambda t: t.count(_SYMBOL) > 0.3 * t.n_words),
-    Rule("upper_case", lambda t: _share(t.count(_UPPER), t.count(_LETTER)) > 0.5),
-    Rule("few_letters", lambda t: _share(t.count(_LETTER), t.offs[1:] - t.offs[:-1]) < 0.3),
-    Rule("word_length", lambda t: (_share(t.word_chars(), t.n_words) < 2) | (_share(t.word_chars(), t.n_words) > 15)),
-    Rule("repeated_lines", lambda t: (lambda d, n: d > 0.5 * n)(*t.dup_lines())),
-    Rule("repeated_trigrams", lambda t: 2 * t.repeat_words() > t.n_words),
+    Rule("few_words", ("n_words",), lambda n: n < 50),
+    Rule("symbols_to_words", ("n_symbols", "n_words"), lambda s, n: s > 0.3 * n),
+    Rule("upper_case", ("n_upper", "n_letters"), lambda u, n: _share(u, n) > 0.5),
+    Rule("few_letters", ("n_letters", "n_bytes"), lambda n, b: _share(n, b) < 0.3),
+    Rule("word_length", ("word_chars", "n_words"), lambda c, n: (_share(c, n) < 2) | (_share(c, n) > 15)),
+    Rule("repeated_lines", ("n_dup_lines", "n_lines"), lambda d, n: d > 0.5 * n),
+    Rule("repeated_trigrams", ("n_repeat_words", "n_words"), lambda r, n: 2 * r > n),
 )
 
 
 def order_rules(sample: list[str | None], rules: tuple[Rule, ...] = RULES) -> list[tuple[str, float, float]]:
-    """(rule, seconds a row, share rejected) in the order of rejections per second; ties by name."""
-    texts = pa.array(sample, pa.string())
+    """(rule, seconds a row, share rejected) in the order of rejections per second; ties by name.
+
+    A rule's cost is that of its statistics and its comparison; cutting texts into words is paid once
+    by all of them and belongs to none."""
+    whole = K.text_bytes(pa.array(sample, pa.string()))
+    found = K.words(*whole, K.NOT_SPACE)
     measured = []
     for rule in rules:
+        texts = Texts(*whole, found)
         began = time.perf_counter()
-        rejected = rule.rejects(Texts(*K.text_bytes(texts)))
+        rejected = rule(texts, np.arange(len(texts)))
         cost = (time.perf_counter() - began) / max(len(sample), 1)
         measured.append((rule.name, cost, float(np.mean(rejected)) if len(sample) else 0.0))
     return sorted(measured, key=lambda m: (-m[2] / max(m[1], 1e-12), m[0]))
 
 
 def cascade(texts: Texts, rules: list[Rule]) -> np.ndarray:
-    """For each text the number of the rule that rejected it first, or -1."""
-    verdict, alive, left = np.full(len(texts.n_words), -1), np.arange(len(texts.n_words)), texts
+    """For each text the number of the rule that rejected it first, or -1; a rule's statistics are
+    computed only for texts that no earlier rule rejected."""
+    verdict, alive = np.full(len(texts), -1), np.arange(len(texts))
     for number, rule in enumerate(rules):
         if not len(alive):
             break
-        bad = rule.rejects(left)
+        bad = rule(texts, alive)
         verdict[alive[bad]] = number
-        if bad.any():
-            alive = alive[~bad]
-            left = left.take(np.flatnonzero(~bad))
+        alive = alive[~bad]
     return verdict
 
 
@@ -129,7 +180,8 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     alike. A null id stays null. An empty table gives an empty result; columns not named are ignored.
     """
     source = two_columns(docs, id_col, text_col, carry)
-    sample = [r._text for r in source.select("_text").sample(fraction=0.02, seed=seed).limit(sample_rows).collect()]
+    few = source.select("_text").where(F.coalesce(F.octet_length("_text"), F.lit(0)) <= SAMPLE_TEXT_BYTES)
+    sample = [r._text for r in few.sample(fraction=0.02, seed=seed).limit(sample_rows).collect()] or [r._text for r in few.limit(sample_rows).collect()]
     ordered = [m[0] for m in order_rules(sample, rules)]
     names = [f.name for f in source.schema if f.name != "_text"]
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "_text")
@@ -138,12 +190,11 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_name = {r.name: r for r in rules}
         chain = [by_name[n] for n in ordered]
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, BLOCK_BYTES)):
             texts = Texts(*K.text_bytes(batch.column("_text")))
             verdict = cascade(texts, chain)
             out = [batch.column(n) for n in names] + [pa.array(verdict < 0), pa.array([None if v < 0 else ordered[v] for v in verdict], pa.string())]
-            if statistics:
-                out += [pa.array(x, pa.int64()) for x in (texts.n_words, texts.word_chars(), texts.count(_SYMBOL), texts.dup_lines()[0], texts.repeat_words())]
+            out += [pa.array(texts.get(n, np.arange(len(texts))), pa.int64()) for n in numbers]
             yield pa.RecordBatch.from_arrays(out, names=[*names, "kept", "rejected_by", *numbers])
 
     done = source.mapInArrow(judge, types + ", kept boolean, rejected_by string" + "".join(f", {n} long" for n in numbers))

@@ -102,6 +102,11 @@ def test_cascade_does_not_depend_on_order():
     for seed in range(5):
         random.Random(seed).shuffle(rules)
         assert (first == (quality_rules.cascade(texts, rules) < 0)).all()
+    for fresh in (quality_rules.Texts(*K.text_bytes(pa.array([t for _, t in edge_rows()]))),):
+        few = [r for r in rules if r.name == "few_words"] + [r for r in rules if r.name == "repeated_trigrams"]
+        verdict = quality_rules.cascade(fresh, few)
+        assert (fresh.known["n_repeat_words"][1] == (verdict != 0)).all()  # nothing is computed for texts already rejected
+        assert (fresh.get("n_repeat_words", np.arange(len(fresh))) == fresh.repeat_words()).all()
     ordered = quality_rules.order_rules([t for _, t in edge_rows()])
     rates = [m[2] / max(m[1], 1e-12) for m in ordered]
     assert rates == sorted(rates, reverse=True)
