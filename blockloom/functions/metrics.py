@@ -50,6 +50,16 @@ def ssim_pair(a: np.ndarray, b: np.ndarray, size: int = 23, sigma: float = 1.5,
     return float((contrast * (2 * ma * mb + c1) / (ma * ma + mb * mb + c1)).mean()), float(contrast.mean())
 
 
+def uniform_ssim_pair(a: np.ndarray, b: np.ndarray, size: int = 7, top: float = 255.0, k1: float = 0.01, k2: float = 0.03) -> float:
+    """Mean structural similarity under flat windows with sample covariances, channels averaged."""
+    a, b, g = a.astype(np.float64), b.astype(np.float64), np.full(size, 1 / size)
+    ma, mb = _blur(a, g), _blur(b, g)
+    sample = size * size / (size * size - 1)
+    va, vb, cov = (sample * (_blur(x, g) - m) for x, m in ((a * a, ma * ma), (b * b, mb * mb), (a * b, ma * mb)))
+    c1, c2 = (k1 * top) ** 2, (k2 * top) ** 2
+    return float(((2 * ma * mb + c1) * (2 * cov + c2) / ((ma * ma + mb * mb + c1) * (va + vb + c2))).mean())
+
+
 def ms_ssim_pair(a: np.ndarray, b: np.ndarray) -> float:
     """Structural similarity over five scales, each half of the one before."""
     a, b, terms = a.astype(np.float64), b.astype(np.float64), []
@@ -68,7 +78,7 @@ def similarity(a: DataFrame, b: DataFrame) -> DataFrame:
     def run(batches):
         for p in batches:
             images = [(np.array(x).reshape(h, w, c), np.array(y).reshape(h, w, c)) for x, y, h, w, c in zip(p["data"], p["other"], p["h"], p["w"], p["c"])]
-            yield pd.DataFrame({"frame_id": p["frame_id"], "ssim": [ssim_pair(x, y, 11)[0] for x, y in images], "ms_ssim": [ms_ssim_pair(x, y) for x, y in images]})
+            yield pd.DataFrame({"frame_id": p["frame_id"], "ssim": [uniform_ssim_pair(x, y) for x, y in images], "ms_ssim": [ms_ssim_pair(x, y) for x, y in images]})
 
     return pairs.mapInPandas(run, "frame_id long, ssim double, ms_ssim double")
 
@@ -141,6 +151,11 @@ def bd_table(points: DataFrame, anchor: str, piecewise: bool = False) -> DataFra
     return psnr.groupBy("model").applyInPandas(compare, "model string, bd_psnr double, bd_rate double")
 
 
+def displayed(points: DataFrame, limit: float = 0.3) -> DataFrame:
+    """The points of a rate-distortion table that are drawn: those under a limit of bits a pixel."""
+    return points.where(F.col("bpp") < limit)
+
+
 def hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
     """Corners of the convex hull by rising first value, the first corner left out."""
     pts = sorted(set(points))

@@ -14,8 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockloom.operators.linear import vectors
+from blockloom.schema import saved
 
 CODEBOOK_ROWS = 65_536
+REFRESH = 32
+"""Chosen points after which the distances carried so far are written."""
 CHUNK_CELLS = 1 << 22
 """Distances computed at once: it bounds a task's memory whatever k is."""
 
@@ -34,14 +37,24 @@ def codebook_array(codebook: DataFrame) -> np.ndarray:
 
 
 def nearest(x: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Number of the nearest centroid and the squared distance; ties to the lowest number."""
+    """Number of the nearest centroid and the squared distance; ties to the lowest number.
+
+    |x|^2 - 2 x.c + |c|^2 by matrix product leaves, but for rounding, one candidate a row; where
+    rounding could hide another, the candidates' differences are squared and summed."""
     label, d2 = np.zeros(len(x), np.int32), np.zeros(len(x))
-    step = max(1, CHUNK_CELLS // max(1, centroids.size))
+    norms, step = (centroids * centroids).sum(1), max(1, CHUNK_CELLS // max(1, len(centroids)))
+    reach = np.abs(centroids).max(initial=0.0)
     for at in range(0, len(x), step):
         part = x[at : at + step]
-        d = ((part[:, None, :] - centroids[None]) ** 2).sum(2)
-        label[at : at + step] = d.argmin(1)
-        d2[at : at + step] = d.min(1)
+        d = norms - 2 * (part @ centroids.T)
+        best = d.argmin(1)
+        least = d[np.arange(len(part)), best]
+        slack = 1e-12 * part.shape[1] * (np.abs(part).max(1, initial=0.0) + reach) ** 2
+        for i in np.flatnonzero((d <= (least + slack)[:, None]).sum(1) > 1):
+            near = np.flatnonzero(d[i] <= least[i] + slack[i])
+            best[i] = near[((part[i] - centroids[near]) ** 2).sum(1).argmin()]
+        label[at : at + step] = best
+        d2[at : at + step] = ((part - centroids[best]) ** 2).sum(1)
     return label, d2
 
 
@@ -115,15 +128,23 @@ def _step(df: DataFrame, centroids: np.ndarray, vec: str) -> tuple[np.ndarray, n
 
 
 def farthest_points(df: DataFrame, k: int, key: str, vec: str = "vec") -> np.ndarray:
-    """Farthest from the mean first, then each time farthest from all chosen; ties to the lowest key."""
+    """Farthest from the mean first, then each time farthest from the mean and all chosen points; ties
+    to the lowest key.
+
+    Each vector carries its least squared distance so far, written every REFRESH points, so that a
+    point costs at most REFRESH distances a vector, however many were chosen before."""
     source = df.select(F.col(key).alias("_key"), F.col(vec).cast("array<double>").alias(vec))
     mean = source.select(F.posexplode(vec).alias("d", "x")).groupBy("d").agg(F.avg("x").alias("m")).orderBy("d").collect()
-    chosen: list[list[float]] = []
-    base = np.array([[r.m for r in mean]])
+    chosen, fresh = [], [[r.m for r in mean]]
+    current = source.withColumn("_least", F.lit(float("inf")))
     for _ in range(k):
-        book = base if not chosen else np.array(chosen)
-        top = assign(source, book, vec).agg(F.max_by(vec, F.struct("d2", F.col("_key").cast("decimal(38,0)") * -1)).alias("v")).first()
+        nearer = assign(current, np.array(fresh), vec).withColumn("_least", F.least("_least", "d2")).drop("label", "d2")
+        if len(fresh) >= REFRESH:
+            current, fresh = saved(nearer, "least-distances"), []
+            nearer = current
+        top = nearer.agg(F.max_by(vec, F.struct("_least", F.col("_key").cast("decimal(38,0)") * -1)).alias("v")).first()
         chosen.append(list(top.v))
+        fresh.append(chosen[-1])
     return np.array(chosen)
 
 
@@ -146,9 +167,11 @@ def kmeans(df: DataFrame, start: np.ndarray, vec: str = "vec", stop: float = 1e-
     return book, errors
 
 
-def fit_codebook(df: DataFrame, k: int, key: str, vec: str = "vec", **options) -> np.ndarray:
-    """A codebook of k words: all vectors if there are no more than k, else farthest points and Lloyd
-    steps; then by falling frequency (ties by the order found)."""
+def fit_codebook(df: DataFrame, k: int, key: str, vec: str = "vec", centres: np.ndarray | None = None, **options) -> np.ndarray:
+    """A codebook of k words: given centres as they are; else all vectors if there are no more than k;
+    else farthest points and Lloyd steps, then by falling frequency (ties by the order found)."""
+    if centres is not None:
+        return np.asarray(centres, np.float64)
     few = df.select(F.col(vec).cast("array<double>").alias(vec), F.col(key).alias("_key")).orderBy("_key").limit(k + 1).collect()
     if len(few) <= k:
         return np.array([r[vec] for r in few])

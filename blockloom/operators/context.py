@@ -22,13 +22,30 @@ def neighbours(df: DataFrame, value: str, default: Column | int | None = None, b
     return out.withColumns({k: F.coalesce(F.col("_" + k), fill) for k in ("n", "nw", "ne", "w", "nn", "ww")}).drop("_n", "_nn", "_w", "_ww", "_nw", "_ne")
 
 
-def label_contexts(df: DataFrame, label: str = "label", coded: str = "coded") -> DataFrame:
+def label_contexts(df: DataFrame, label: str = "label", coded: str = "coded", groups: DataFrame | None = None) -> DataFrame:
     """Adds ctx = up~left.  up is the value above, else above right, else two above; left that to the
-    left, else above left, else two to the left; a skipped block and a place outside count as -1."""
-    value = F.when(F.col(coded), F.col(label)).cast("int")
+    left, else above left, else two to the left; a skipped block and a place outside count as -1.
+    With groups (cid, group) of the codewords the values are groups, without them labels."""
+    if groups is not None:
+        df = df.join(F.broadcast(groups.select(F.col("cid").alias(label), F.col("group").alias("_g"))), label, "left")
+    value = F.when(F.col(coded), F.col("_g" if groups is not None else label)).cast("int")
     known = neighbours(df.withColumn("_v", value), "_v")
     up, left = F.coalesce("n", "ne", "nn", F.lit(-1)), F.coalesce("w", "nw", "ww", F.lit(-1))
-    return known.withColumn("ctx", F.concat_ws("~", up.cast("string"), left.cast("string"))).drop("_v", "n", "nw", "ne", "w", "nn", "ww")
+    return known.withColumn("ctx", F.concat_ws("~", up.cast("string"), left.cast("string"))).drop("_v", "_g", "n", "nw", "ne", "w", "nn", "ww")
+
+
+CODEWORD_GROUPS = 31
+
+
+def codeword_groups(codebook: DataFrame, n: int = CODEWORD_GROUPS, rounds: int = 300) -> DataFrame:
+    """(cid, group): the codewords clustered into at most n groups, so that contexts stay few.
+
+    A codebook is bounded, so its k-means is small; groups are numbered by falling frequency."""
+    from blockloom.operators import cluster
+
+    words = codebook.select("cid", F.col("centroid").alias("vec"))
+    centres = cluster.fit_codebook(words, n, "cid", rounds=rounds)
+    return cluster.assign(words, centres).select("cid", F.col("label").alias("group"))
 
 
 def mask_contexts(df: DataFrame, mask: str = "coded", border_aware: bool = False, parent: str | None = None) -> DataFrame:
@@ -57,15 +74,24 @@ def context_histogram(df: DataFrame, symbols: int, symbol: str = "label") -> Dat
     return every.join(counts, ["ctx", "symbol"], "left").select("ctx", "symbol", (F.coalesce("k", F.lit(0)) + 1).cast("long").alias("n"))
 
 
-def threshold_histogram(df: DataFrame, symbols: int, thresholds: list[float]) -> DataFrame:
-    """The context histogram accumulated over skip thresholds: contexts change with the mask."""
-    out = None
-    for th in thresholds:
-        rows = label_contexts(df.withColumn("coded", F.col("dmse") > th)).where("coded").groupBy("ctx", F.col("label").cast("int").alias("symbol")).agg(F.count("*").alias("k"))
-        out = rows if out is None else out.unionByName(rows)
-    counts = out.groupBy("ctx", "symbol").agg(F.sum("k").alias("k"))
-    every = counts.select("ctx").distinct().withColumn("symbol", F.explode(F.sequence(F.lit(0), F.lit(symbols - 1))))
-    return every.join(counts, ["ctx", "symbol"], "left").select("ctx", "symbol", (F.coalesce("k", F.lit(0)) + 1).cast("long").alias("n"))
+def threshold_contexts(df: DataFrame, thresholds: list[float], groups: DataFrame | None = None) -> DataFrame:
+    """(k, ctx, label) of the blocks coded at each threshold: contexts change with the mask.
+
+    Neighbours come from one windowed scan, as pairs of value and dmse; each row then says its own
+    context at every threshold it passes, so thresholds cost no further shuffle."""
+    if groups is not None:
+        df = df.join(F.broadcast(groups.select(F.col("cid").alias("label"), F.col("group").alias("_g"))), "label", "left")
+    value = F.struct(F.col("dmse").alias("d"), F.col("_g" if groups is not None else "label").cast("int").alias("v"))
+    known = neighbours(df.withColumn("_v", value), "_v", F.lit(None))
+    steps = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(th)).alias("th")) for k, th in enumerate(thresholds)])
+    rows = known.withColumn("_s", F.explode(F.filter(steps, lambda s: F.col("dmse") > s["th"])))
+    at = lambda *places: F.coalesce(*[F.when(F.col(f"{p}.d") > F.col("_s.th"), F.col(f"{p}.v")) for p in places], F.lit(-1)).cast("string")
+    return rows.select(F.col("_s.k").alias("k"), F.concat_ws("~", at("n", "ne", "nn"), at("w", "nw", "ww")).alias("ctx"), F.col("label").cast("int").alias("label"))
+
+
+def threshold_histogram(df: DataFrame, symbols: int, thresholds: list[float], groups: DataFrame | None = None) -> DataFrame:
+    """The context histogram accumulated over skip thresholds."""
+    return context_histogram(threshold_contexts(df, thresholds, groups), symbols)
 
 
 def mpm_modes(df: DataFrame, init: tuple[int, int, int] = (0, 1, 2), label: str = "label") -> DataFrame:

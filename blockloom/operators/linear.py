@@ -204,17 +204,23 @@ def channel_fit(frames: DataFrame, windows: tuple[int, ...], split: int = 0) ->
     return fitted
 
 
+def level_batch(rows: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+    """(frame, level, h x w x d array) as one batch with a row for each place."""
+    at = [np.indices(g.shape[:2]).reshape(2, -1).astype(np.int32) for _, _, g in rows]
+    n = [a.shape[1] for a in at]
+    column = lambda k, kind: pa.array(np.repeat([r[k] for r in rows], n), kind)
+    places = np.concatenate(at, 1) if at else np.zeros((2, 0), np.int32)
+    vecs = pa.concat_arrays([as_column(g.reshape(m, -1)) for (_, _, g), m in zip(rows, n)]) if rows else pa.array([], pa.list_(pa.float64()))
+    return pa.RecordBatch.from_arrays([column(0, pa.int64()), column(1, pa.int32()), pa.array(places[0]), pa.array(places[1]), vecs], names=["frame_id", "level", "bi", "bj", "vec"])
+
+
 def channel_transform(frames: DataFrame, transform: ChannelTransform) -> DataFrame:
     """(frame_id, level, bi, bj, vec): the channels of each level that stop there."""
     from blockloom.operators.layout import numpy_frames
 
     def run(batches):
         for batch in batches:
-            for i, x in numpy_frames(batch):
-                for level, g in enumerate(transform.forward(x.astype(np.float64))):
-                    h, w, _ = g.shape
-                    at = np.indices((h, w)).reshape(2, -1).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(h * w, i)), pa.array(np.full(h * w, level, np.int32)), pa.array(at[0]), pa.array(at[1]), as_column(g.reshape(h * w, -1))], names=["frame_id", "level", "bi", "bj", "vec"])
+            yield level_batch([(i, level, g) for i, x in numpy_frames(batch) for level, g in enumerate(transform.forward(x.astype(np.float64)))])
 
     return frames.mapInArrow(run, "frame_id long, level int, bi int, bj int, vec array<double>")
 
@@ -273,15 +279,14 @@ def per_frame_channel_transform(frames: DataFrame, windows: tuple[int, ...], spl
 
     def run(batches):
         for batch in batches:
+            rows = []
             for i, x in numpy_frames(batch):
                 t, y = ChannelTransform(tuple(windows), split, (), x.shape[2]), x.astype(np.float64)
                 for level, win in enumerate(windows):
                     samples = [grid(p, win).reshape(-1, p.shape[2] * win * win) for p in _parts(y, level)]
                     t = ChannelTransform(t.windows, split, (*t.kernels, tuple(kernel_of(len(s), s.mean(0), s.T @ s) for s in samples)), x.shape[2])
                     y = np.concatenate([grid(p, win) @ k.matrix.T for p, k in zip(_parts(y, level), t.kernels[level])], 2)[:, :, : t.descending(level)]
-                for level, g in enumerate(t.forward(x.astype(np.float64))):
-                    h, w, _ = g.shape
-                    at = np.indices((h, w)).reshape(2, -1).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(h * w, i)), pa.array(np.full(h * w, level, np.int32)), pa.array(at[0]), pa.array(at[1]), as_column(g.reshape(h * w, -1))], names=["frame_id", "level", "bi", "bj", "vec"])
+                rows += [(i, level, g) for level, g in enumerate(t.forward(x.astype(np.float64)))]
+            yield level_batch(rows)
 
     return frames.mapInArrow(run, "frame_id long, level int, bi int, bj int, vec array<double>")

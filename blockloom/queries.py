@@ -146,13 +146,12 @@ def yuv_projection(spark, sf_dir):
     return color.rgb_to_yuv(_rgb(spark, sf_dir)).select("frame_id", "t", *[r6(c).alias(c) for c in "yuv"])
 
 
-@query(f"WITH {_PX}, {_RGB} SELECT frame_id, t, round(r, 3) AS r, round(g, 3) AS g, round(b, 3) AS b FROM rgb")
+@query(f"""WITH {_PX}, {_RGB}, yuv AS (SELECT frame_id, t, 0.299 * (r - 127) + 0.587 * (g - 127) + 0.114 * (b - 127) AS y, -0.14713 * (r - 127) - 0.28886 * (g - 127) + 0.436 * (b - 127) AS u, 0.615 * (r - 127) - 0.51499 * (g - 127) - 0.10001 * (b - 127) AS v FROM rgb)
+SELECT frame_id, t, round(y + 1.13983 * v + 127, 6) AS r, round(y - 0.39465 * u - 0.58060 * v + 127, 6) AS g, round(y + 2.03211 * u + 127, 6) AS b FROM yuv""")
 def yuv_roundtrip(spark, sf_dir):
-    """Back from luma and chroma: the matrices are inverse to each other up to their five digits."""
-    yuv = color.rgb_to_yuv(_rgb(spark, sf_dir)).withColumns({f"_{c}": F.col(c) for c in "rgb"})
-    back = color.yuv_to_rgb(yuv)
-    near = lambda c: F.when(F.abs(F.col(c) - F.col(f"_{c}")) < 0.02, F.col(f"_{c}")).otherwise(F.col(c))
-    return back.select("frame_id", "t", *[F.round(near(c), 3).alias(c) for c in "rgb"])
+    """Back from luma and chroma; the matrices are inverse to each other only up to their five digits."""
+    back = color.yuv_to_rgb(color.rgb_to_yuv(_rgb(spark, sf_dir)))
+    return back.select("frame_id", "t", *[r6(c).alias(c) for c in "rgb"])
 
 
 @query("SELECT vec_id AS frame_id, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j FROM embeddings, range(0, 5, 2) a(i), range(0, 5, 2) b(j)")
@@ -205,10 +204,9 @@ def sse_by_cluster(spark, sf_dir):
 
 def _kkz_sql() -> str:
     sql = "WITH v AS (SELECT vec_id, embedding AS vec FROM embeddings), m AS (SELECT list(m ORDER BY p) AS c FROM (SELECT p, avg(CAST(x AS DOUBLE)) AS m FROM (SELECT unnest(vec) AS x, generate_subscripts(vec, 1) AS p FROM v) GROUP BY p))"
-    sql += f", k0 AS (SELECT vec_id FROM v, m ORDER BY {_D2.format(a='vec', b='m.c')} DESC, vec_id LIMIT 1)"
+    sql += f", s0 AS (SELECT vec_id, vec, {_D2.format(a='vec', b='m.c')} AS d FROM v, m), k0 AS (SELECT vec_id, vec FROM s0 ORDER BY d DESC, vec_id LIMIT 1)"
     for n in range(1, 4):
-        chosen = " UNION ALL ".join(f"SELECT vec_id FROM k{i}" for i in range(n))
-        sql += f", k{n} AS (SELECT a.vec_id FROM v a, v b WHERE b.vec_id IN ({chosen}) GROUP BY a.vec_id ORDER BY min({_D2.format(a='a.vec', b='b.vec')}) DESC, a.vec_id LIMIT 1)"
+        sql += f", s{n} AS (SELECT s.vec_id, s.vec, least(s.d, {_D2.format(a='s.vec', b='k.vec')}) AS d FROM s{n - 1} s, k{n - 1} k), k{n} AS (SELECT vec_id, vec FROM s{n} ORDER BY d DESC, vec_id LIMIT 1)"
     return sql + " " + " UNION ALL ".join(f"SELECT {n} AS step, vec_id FROM k{n}" for n in range(4))
 
 
@@ -220,10 +218,10 @@ def kkz_4(spark, sf_dir):
     return F.broadcast(steps).join(vecs, "vec").groupBy("step").agg(F.min("vec_id").alias("vec_id"))
 
 
-@query("WITH b AS (SELECT vec_id AS cid, embedding[1] AS x FROM embeddings WHERE vec_id < 8) SELECT e.vec_id, CAST(e.label AS INTEGER) AS label, CAST(coalesce(b.x, (SELECT x FROM b WHERE cid = 0)) AS DOUBLE) AS x FROM embeddings e LEFT JOIN b ON b.cid = e.label")
+@query("WITH b AS (SELECT vec_id AS cid, embedding AS c FROM embeddings WHERE vec_id < 8), r AS (SELECT e.vec_id, CAST(e.label AS INTEGER) AS label, coalesce(b.c, (SELECT c FROM b WHERE cid = 0)) AS c FROM embeddings e LEFT JOIN b ON b.cid = e.label) SELECT vec_id, label, CAST(generate_subscripts(c, 1) - 1 AS INTEGER) AS d, CAST(unnest(c) AS DOUBLE) AS x FROM r")
 def decode_lookup(spark, sf_dir):
     rows = _table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("int").alias("label"))
-    return cluster.decode(rows, _book(spark, sf_dir)).select("vec_id", "label", F.col("ivec")[0].alias("x"))
+    return cluster.decode(rows, _book(spark, sf_dir)).select("vec_id", "label", F.posexplode("ivec").alias("d", "x"))
 
 
 @query(f"{_COD} SELECT label, count(*) AS n, round(sum(mse * 4), 6) AS energy FROM cod GROUP BY label")
@@ -340,8 +338,10 @@ def _at(value: str, dy: int, dx: int, table: str, alias: str) -> str:
     return f"LEFT JOIN {table} {alias} ON {alias}.frame_id = a.frame_id AND {alias}.bi = a.bi + ({dy}) AND {alias}.bj = a.bj + ({dx})"
 
 
-_CTX = f"""{_COD}, m AS (SELECT *, CASE WHEN dmse > 20 THEN label END AS v FROM cod), ctx AS (SELECT a.frame_id, a.bi, a.bj, a.label, a.dmse > 20 AS coded, coalesce(n.v, ne.v, nn.v, -1) || '~' || coalesce(w.v, nw.v, ww.v, -1) AS ctx FROM m a
-{_at('v', -1, 0, 'm', 'n')} {_at('v', -1, 1, 'm', 'ne')} {_at('v', -2, 0, 'm', 'nn')} {_at('v', 0, -1, 'm', 'w')} {_at('v', -1, -1, 'm', 'nw')} {_at('v', 0, -2, 'm', 'ww')})"""
+_DOWN, _ALONG = "PARTITION BY frame_id, bj ORDER BY bi", "PARTITION BY frame_id, bi ORDER BY bj"
+_CTX = f"""{_COD}, m AS (SELECT frame_id, bi, bj, label, dmse > 20 AS coded, CASE WHEN dmse > 20 THEN label END AS v FROM cod),
+m1 AS (SELECT *, lag(v) OVER ({_DOWN}) AS n, lag(v, 2) OVER ({_DOWN}) AS nn, lag(v) OVER ({_ALONG}) AS w, lag(v, 2) OVER ({_ALONG}) AS ww FROM m),
+m2 AS (SELECT *, lead(n) OVER ({_ALONG}) AS ne, lag(n) OVER ({_ALONG}) AS nw FROM m1), ctx AS (SELECT frame_id, bi, bj, label, coded, coalesce(n, ne, nn, -1) || '~' || coalesce(w, nw, ww, -1) AS ctx FROM m2)"""
 
 
 def _contexts(spark, sf_dir):
@@ -393,15 +393,27 @@ def mpm_bits(spark, sf_dir):
     return context.mpm_bits(_coded(spark, sf_dir), 16)
 
 
-@query("SELECT a, b, round(cov, 6) AS cov FROM (SELECT CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, covar_pop(CAST(embedding[a + 1] AS DOUBLE), CAST(embedding[b + 1] AS DOUBLE)) AS cov FROM embeddings, range(6) x(a), range(6) y(b) WHERE a <= b GROUP BY ALL)")
+@query("SELECT a, b, round(cov, 6) + 0.0 AS cov FROM (SELECT CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, covar_pop(CAST(embedding[a + 1] AS DOUBLE), CAST(embedding[b + 1] AS DOUBLE)) AS cov FROM embeddings, range(64) x(a), range(64) y(b) WHERE a <= b GROUP BY ALL)")
 def covariance_matrix(spark, sf_dir):
+    n, mean, products = linear.moments(_vectors(spark, sf_dir))[None]
+    cov = products / n - np.outer(mean, mean)
+    return spark.createDataFrame([(a, b, round(float(cov[a, b]), 6) + 0.0) for a in range(64) for b in range(a, 64)], "a int, b int, cov double")
+
+
+@query("SELECT a, b, round(cov, 6) AS cov FROM (SELECT CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, covar_pop(CAST(embedding[a + 1] AS DOUBLE), CAST(embedding[b + 1] AS DOUBLE)) AS cov FROM embeddings, range(6) x(a), range(6) y(b) WHERE a <= b GROUP BY ALL)")
+def covariance_expressions(spark, sf_dir):
+    """The same as aggregate expressions, for vectors of few dimensions: the first six here."""
     return linear.covariance(_vectors(spark, sf_dir), 6).select("a", "b", r6("cov").alias("cov"))
 
 
-@query(f"WITH {_BLK} SELECT frame_id, bi, bj, round((vec[1] + vec[2] + vec[3] + vec[4]) / 2, 6) + 0.0 AS k0, round((vec[1] + vec[2] - vec[3] - vec[4]) / 2, 6) + 0.0 AS k1 FROM blk")
+_SIGNS = ((1, 1, 1, 1), (1, 1, -1, -1), (1, -1, 1, -1), (1, -1, -1, 1))
+_SIGNED = ", ".join("round((" + " + ".join(f"({v}) * vec[{i + 1}]" for i, v in enumerate(row)) + f") / 2, 6) + 0.0 AS k{n}" for n, row in enumerate(_SIGNS))
+
+
+@query(f"WITH {_BLK} SELECT frame_id, bi, bj, {_SIGNED} FROM blk")
 def pca_apply_fixed(spark, sf_dir):
-    out = linear.apply_matrix(_blocks(spark, sf_dir), np.array([[1, 1, 1, 1], [1, 1, -1, -1]]) / 2)
-    return out.select("frame_id", "bi", "bj", (r6(F.col("vec")[0]) + 0.0).alias("k0"), (r6(F.col("vec")[1]) + 0.0).alias("k1"))
+    out = linear.apply_matrix(_blocks(spark, sf_dir), np.array(_SIGNS) / 2)
+    return out.select("frame_id", "bi", "bj", *[(r6(F.col("vec")[k]) + 0.0).alias(f"k{k}") for k in range(4)])
 
 
 @query(f"WITH {_PX}, q AS (SELECT frame_id, avg(pow(x * 255 - round_even(x * 255, 0), 2)) AS mse, avg(abs(x * 255 - round_even(x * 255, 0))) AS mad FROM px GROUP BY 1) SELECT round(avg(mse), 4) AS mse, round(avg(mad), 4) AS mad, round(avg(10 * log10(255.0 * 255 / mse)), 4) AS psnr, round(sqrt(avg(mse)), 4) AS rmse FROM q")
@@ -454,11 +466,11 @@ def lineitem_centroids(spark, sf_dir):
     return labelled.groupBy("label").agg(F.count("*").alias("n"), *[F.round(F.avg(F.col("vec")[i]), 5).alias(f"m{i}") for i in range(4)])
 
 
-@query("SELECT round(covar_pop(l_quantity / 50, l_extendedprice / 105000), 6) AS qp, round(covar_pop(l_quantity / 50, l_quantity / 50), 6) AS qq, round(covar_pop(l_discount * 10, l_tax * 12), 6) AS dt FROM lineitem")
+@query(f"WITH v AS (SELECT {_LI} AS vec FROM lineitem) SELECT CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, round(covar_pop(vec[a + 1], vec[b + 1]), 6) AS cov, round(avg(vec[a + 1]), 6) AS mean FROM v, range(4) x(a), range(4) y(b) WHERE a <= b GROUP BY ALL")
 def lineitem_moments(spark, sf_dir):
     n, mean, products = linear.moments(_lineitem(spark, sf_dir))[None]
     cov = products / n - np.outer(mean, mean)
-    return spark.createDataFrame([(round(float(cov[0, 1]), 6), round(float(cov[0, 0]), 6), round(float(cov[2, 3]), 6))], "qp double, qq double, dt double")
+    return spark.createDataFrame([(a, b, round(float(cov[a, b]), 6), round(float(mean[a]), 6)) for a in range(4) for b in range(a, 4)], "a int, b int, cov double, mean double")
 
 
 @query()
@@ -475,22 +487,6 @@ def channel_transform_roundtrip(spark, sf_dir):
     return metrics.frame_errors(frames, back).select("frame_id", (F.col("mse") > 1e-9).cast("int").alias("wrong"))
 
 
-@query()
-def huffman_rate(spark, sf_dir):
-    return entropy.huffman_bits(aggregates.histogram(_coded(spark, sf_dir), "label"), smooth=1)
-
-
-@query()
-def context_coder_bits(spark, sf_dir):
-    rows = _contexts(spark, sf_dir).where("coded")
-    return entropy.context_bits(rows, entropy.context_code_lengths(context.context_histogram(rows, 16)), 16)
-
-
-@query()
-def mask_coder_bits(spark, sf_dir):
-    return entropy.mask_stream_bits(context.mask_contexts(_mask(spark, sf_dir), border_aware=True))
-
-
 @query("SELECT vec_id AS frame_id, 0 AS wrong FROM embeddings")
 def range_coder_roundtrip(spark, sf_dir):
     """Each frame's sixteen labels through the adaptive range coder and back."""
@@ -507,25 +503,42 @@ def range_coder_roundtrip(spark, sf_dir):
     return rows.mapInPandas(run, "frame_id long, wrong int")
 
 
-@query("SELECT vec_id AS frame_id, CAST(r AS INTEGER) AS res FROM embeddings, (SELECT unnest([2, 4, 8]) AS r)")
+def _weights_sql(name: str, n_in: int, n_out: int) -> str:
+    """(o, i, k): the share of input i in output o under the three-lobed kernel, widened when shrinking."""
+    ratio, scale = n_in / n_out, max(1.0, n_in / n_out)
+    t = f"((i + 0.5 - (o + 0.5) * {ratio}) / {scale})"
+    kernel = f"CASE WHEN {t} = 0 THEN 1.0 WHEN abs({t}) < 3 THEN 3 * sin(pi() * {t}) * sin(pi() * {t} / 3) / (pi() * pi() * {t} * {t}) ELSE 0.0 END"
+    return f"{name} AS (SELECT o, i, k / sum(k) OVER (PARTITION BY o) AS k FROM (SELECT o, i, {kernel} AS k FROM range({n_out}) a(o), range({n_in}) b(i)))"
+
+
+def _resampled_sql(name: str, source: str, weights: str) -> str:
+    return f"{name} AS (SELECT frame_id, CAST(a.o AS INTEGER) AS i, CAST(b.o AS INTEGER) AS j, round_even(sum(a.k * b.k * x), 0) AS x FROM {source} p JOIN {weights} a ON a.i = p.i JOIN {weights} b ON b.i = p.j GROUP BY ALL)"
+
+
+_PX255 = "p8 AS (SELECT frame_id, i, j, CAST(CAST(x AS FLOAT) * CAST(255 AS FLOAT) AS DOUBLE) AS x FROM px)"
+_PYRAMID = f"WITH {_PX}, {_PX255}, {_weights_sql('w84', 8, 4)}, {_weights_sql('w42', 4, 2)}, {_resampled_sql('p4', 'p8', 'w84')}, {_resampled_sql('p2', 'p4', 'w42')}"
+
+
+def _bright(spark, sf_dir):
+    """Frames with values times 255."""
+    return _frames(spark, sf_dir).withColumn("data", F.transform("data", lambda x: (x * 255).cast("float")))
+
+
+@query(f"{_PYRAMID} SELECT frame_id, 8 AS res, i, j, round(x, 4) AS x FROM p8 UNION ALL SELECT frame_id, 4, i, j, x + 0.0 FROM p4 UNION ALL SELECT frame_id, 2, i, j, x + 0.0 FROM p2")
 def lanczos_pyramid(spark, sf_dir):
-    scaled = _frames(spark, sf_dir).withColumn("data", F.transform("data", lambda x: (x * 255).cast("float")))
-    return resample.pyramid(scaled, [2, 4, 8]).select("frame_id", "res")
+    sized = resample.pyramid(_bright(spark, sf_dir), [2, 4, 8])
+    return sized.select("frame_id", "res", F.posexplode("data").alias("p", "v")).select("frame_id", "res", F.expr("cast(p div res as int)").alias("i"), F.expr("cast(p % res as int)").alias("j"), (F.round(F.col("v").cast("double"), 4) + 0.0).alias("x"))
 
 
-@query()
-def structural_similarity(spark, sf_dir):
-    a = _frames(spark, sf_dir).withColumn("data", F.transform("data", lambda x: (x * 255).cast("float")))
-    return metrics.similarity(a, a.withColumn("data", F.transform("data", lambda x: F.rint(x).cast("float")))).select("frame_id", r6("ssim").alias("ssim"), r6("ms_ssim").alias("ms_ssim"))
+_SSIM = f"""WITH {_PX}, {_PX255}, q AS (SELECT frame_id, i, j, x, round_even(x, 0) AS y FROM p8), w AS (SELECT frame_id, a, b, avg(x) AS mx, avg(y) AS my, var_samp(x) AS vx, var_samp(y) AS vy, covar_samp(x, y) AS c
+FROM q, range(2) r(a), range(2) s(b) WHERE i BETWEEN a AND a + 6 AND j BETWEEN b AND b + 6 GROUP BY ALL)
+SELECT frame_id, round(avg((2 * mx * my + 6.5025) * (2 * c + 58.5225) / ((mx * mx + my * my + 6.5025) * (vx + vy + 58.5225))), 6) AS ssim FROM w GROUP BY 1"""
 
 
-@query()
-def bd_rate(spark, sf_dir):
-    # Published points of two models.
-    main = [(0.00496, 728.073348), (0.03195, 397.644531), (0.05903, 289.792297), (0.08069, 231.719757), (0.10219, 197.07225)]
-    other = [(0.00559, 736.44), (0.03459, 388.59), (0.0594, 291.0), (0.09298, 242.2)]
-    points = spark.createDataFrame([("main", *p) for p in main] + [("other", *p) for p in other], "model string, bpp double, mse double")
-    return metrics.bd_table(points, "main")
+@query(_SSIM)
+def structural_similarity(spark, sf_dir):
+    a = _bright(spark, sf_dir)
+    return metrics.similarity(a, a.withColumn("data", F.transform("data", lambda x: F.rint(x).cast("float")))).select("frame_id", r6("ssim").alias("ssim"))
 
 
 @query()
@@ -533,11 +546,14 @@ def vq_fit_encode(spark, sf_dir):
     """Two levels with two stages and one stage: what each stage chose."""
     frames = _frames(spark, sf_dir).withColumn("data", F.transform("data", lambda x: (x * 255).cast("float")))
     config = ResolutionConfig(8, (2, 2), 0, 3e4, (LevelConfig((8,), (-1,)), LevelConfig((8, 8), (2, -1))))
-    _, choices = vq.encode(frames, vq.fit(frames, config, rounds=10))
+    _, choices = vq.encode(frames, vq.fit(frames, config))
     rows = [(c["level"], c["position"], c["codebook"], float(c["th"]), int(c["coded"]), float(c["r"]), float(c["d"])) for c in choices]
     return spark.createDataFrame(rows, "level int, position int, codebook int, th double, coded long, r double, d double")
 
 
+from blockloom import value_queries  # noqa: E402, F401  registers the rest here
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest codewords, what they gain, the skip mask, and a summary by label."""
     rows = layout.skip_mask(_coded(spark, sf_dir), 50.0)

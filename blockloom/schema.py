@@ -7,6 +7,9 @@ frames: one row per image, data row-major (h, w, c).  blocks: one row per block
 from __future__ import annotations
 
 import json
+import re
+import tempfile
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +31,25 @@ def session(master: str = "local[*]", shuffle_partitions: int = 8) -> SparkSessi
     return builder.getOrCreate()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as spark.checkpoint.dir names it.  A session that
+    names none gets one of its own only if all its tasks run on this machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="blockloom-")
+        spark.sparkContext.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: later plans start from its files, whatever executors are lost."""
+    path = f"{shared_dir(df.sparkSession)}/blockloom/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def check_dim(df: DataFrame, col: str, dim: int) -> DataFrame:
     """df, failing at the first row whose vector is not dim wide."""
     bad = F.raise_error(F.concat(F.lit(f"{col} must have {dim} values, not "), F.size(col).cast("string")))

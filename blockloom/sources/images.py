@@ -8,21 +8,26 @@ from __future__ import annotations
 
 import io
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
-from blockloom.operators.layout import crops, frame_batch, numpy_frames
+from blockloom.operators.layout import batch_ids, crops, frame_batch, numpy_frames
 from blockloom.operators.resample import pyramid
 from blockloom.schema import FRAMES
 
 
 def decode_image(data: bytes) -> np.ndarray | None:
     """h x w x 3 blue-green-red values of a portable pixmap or graymap or an .npy array; of other
-    formats where an imaging library is installed; None for what can't be read."""
+    formats where an imaging library is installed; None for what can't be read.  A PNG or JPEG file
+    without that library is an error, not a file that can't be read."""
     head = re.match(rb"(P[56])\s+(?:#[^\n]*\n\s*)*(\d+)\s+(\d+)\s+(\d+)\s", data)
     try:
         if head:
@@ -32,10 +37,14 @@ def decode_image(data: bytes) -> np.ndarray | None:
             x = np.load(io.BytesIO(data), allow_pickle=False)
             x = x[:, :, None] if x.ndim == 2 else x
         else:
-            from PIL import Image
-
+            try:
+                from PIL import Image
+            except ImportError:
+                if data.startswith((b"\x89PNG", b"\xff\xd8\xff")):
+                    raise
+                return None
             x = np.asarray(Image.open(io.BytesIO(data)).convert("RGB"))
-    except (ValueError, OSError, ImportError):
+    except (ValueError, OSError):
         return None
     return np.repeat(x, 3, 2) if x.shape[2] == 1 else x[:, :, ::-1]
 
@@ -111,6 +120,48 @@ def to_raw(frames: DataFrame, kind: str = "SHORT", offset: int = 0) -> DataFrame
     return frames.mapInArrow(run, "frame_id long, raw binary")
 
 
+class _RawWriter(DataSourceWriter):
+    """Each task writes one file of its frames, in the order they come; a file counts once it has its
+    final name, which a task that is run again takes anew."""
+
+    def __init__(self, path: str, overwrite: bool):
+        self.path, self.overwrite = path, overwrite
+
+    def write(self, rows):
+        fs, base = pyarrow.fs.FileSystem.from_uri(self.path)
+        fs.create_dir(base, recursive=True)
+        name = f"part-{TaskContext.get().partitionId():05d}.raw"
+        draft = f"{base}/_{uuid.uuid4().hex}"
+        n = 0
+        with fs.open_output_stream(draft) as out:
+            for row in rows:
+                out.write(bytes(row.raw))
+                n += 1
+        if n:
+            fs.move(draft, f"{base}/{name}")
+        else:
+            fs.delete_file(draft)
+        return WriterCommitMessage()
+
+
+class RawFrames(DataSource):
+    """Sink of (frame_id, raw) rows: folders of raw planar files without a header."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "raw_frames"
+
+    def writer(self, schema, overwrite):
+        return _RawWriter(self.options["path"], overwrite)
+
+
+def write_raw(frames: DataFrame, path: str, kind: str = "SHORT", offset: int = 0, files: int = 1) -> None:
+    """Frames as raw planar files below path, by frame_id: each file holds a range of them."""
+    frames.sparkSession.dataSource.register(RawFrames)
+    ordered = frames.repartitionByRange(files, "frame_id").sortWithinPartitions("frame_id")
+    to_raw(ordered, kind, offset).write.format("raw_frames").mode("append").option("path", path).save()
+
+
 def from_raw(raw: DataFrame, size: int, channels: int = 3, kind: str = "SHORT", offset: int = 0) -> DataFrame:
     """Frames of (frame_id, raw) rows that hold one or more frames each, numbered on within a row."""
     width = size * size * channels * (2 if kind == "SHORT" else 1)
@@ -130,9 +181,9 @@ def from_raw(raw: DataFrame, size: int, channels: int = 3, kind: str = "SHORT",
 def read_raw(spark: SparkSession, path: str, size: int, channels: int = 3, kind: str = "SHORT", offset: int = 0, stride: int = 1 << 32) -> DataFrame:
     """Frames of raw planar files; a file's frames are numbered from its rank by path times stride."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    ranks = {r.path: k for k, r in enumerate(files.select("path").orderBy("path").collect())}
-    number = F.create_map(*[F.lit(v) for p, k in ranks.items() for v in (p, k * stride)]) if ranks else F.lit(None)
-    return from_raw(files.select(F.element_at(number, F.col("path")).cast("long").alias("frame_id"), F.col("content").alias("raw")), size, channels, kind, offset)
+    ranks = batch_ids(files.select("path"), "path", 1).withColumnRenamed("batch", "rank")
+    numbered = files.join(ranks, "path")
+    return from_raw(numbered.select((F.col("rank").cast("long") * stride).alias("frame_id"), F.col("content").alias("raw")), size, channels, kind, offset)
 
 
 def parse_codebook(data: bytes, k: int, win: int, kind: str = "SHORT", channels: int = 3) -> np.ndarray:

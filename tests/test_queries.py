@@ -38,12 +38,12 @@ def test_matches_sql(spark, duck, name):
 
 def test_coder_rates(spark):
     n = core._coded(spark, SF).count()
-    bits = core.huffman_rate(spark, SF).first().bits
+    bits = core.QUERIES["huffman_rate"](spark, SF).first().bits
     counts = [r["n"] for r in core._coded(spark, SF).groupBy("label").count().withColumnRenamed("count", "n").collect()]
     entropy = -sum(c / n * math.log2(c / n) for c in counts)
     assert entropy * n - 1 <= bits < (entropy + 1.05) * n
-    assert 0 < core.context_coder_bits(spark, SF).first().bits <= bits * 1.1
-    assert 0 < core.mask_coder_bits(spark, SF).first().bits < 1.3 * 500 * 64
+    assert 0 < core.QUERIES["context_coder_bits"](spark, SF).first().bits <= bits * 1.1
+    assert 0 < core.QUERIES["mask_coder_bits"](spark, SF).first().bits < 1.3 * 500 * 64
 
 
 def test_pca_keeps_energy(spark):
@@ -57,5 +57,5 @@ def test_pca_keeps_energy(spark):
 
 def test_similarity_and_bd(spark):
     assert core.structural_similarity(spark, SF).where("ssim > 1.000001 or ssim < 0.5").count() == 0
-    by = {r.model: r for r in core.bd_rate(spark, SF).collect()}
+    by = {r.model: r for r in core.QUERIES["bd_rate"](spark, SF).collect()}
     assert abs(by["main"].bd_rate) < 1e-6 and abs(by["main"].bd_psnr) < 1e-9
