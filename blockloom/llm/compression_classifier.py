@@ -97,7 +97,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Fits on at most train_rows rows of each class that are not held out.
 
     Half of them build the dictionaries and the other half calibrate; with fewer than two rows of a
-    class, all do both. Null labels, ids and texts are left out; without both classes every score is 0.5."""
+    class, all do both. Null labels, ids and texts are left out; of rows that repeat an id the shortest text
+    trains, ties to the first in order; without both classes every score is 0.5."""
     q = lambda c: F.col("`" + c.replace("`", "``") + "`")
     known = labels.select(q(id_col).cast("long").alias("_id"), q(label_col).cast("int").alias("y")).where("_id is not null and y in (0, 1)").where(~held_out(F.col("_id")))
     prior = known.agg(F.avg("y")).first()[0] or 0.5
@@ -106,10 +107,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     spark = docs.sparkSession
     chosen = F.broadcast(spark.createDataFrame(wanted, "_id long, y int"))
     rows = two_columns(docs, id_col, text_col).join(chosen, "_id").where("_text is not null and length(_text) > 0")
-    few = rows.where(F.octet_length("_text") <= train_bytes // 8).withColumn("n", F.octet_length("_text")).dropDuplicates(["_id"])
+    few = rows.where(F.octet_length("_text") <= train_bytes // 8).groupBy("_id", "y").agg(F.min(F.struct(F.octet_length("_text").alias("n"), "_text")).alias("m")).select("_id", "y", "m.n", "m._text")
     texts: dict[int, list[str]] = {0: [], 1: []}
     left = {0: train_bytes, 1: train_bytes}
-    for r in few.orderBy(order, "_id").toLocalIterator():
+    for r in few.orderBy(order, "_id", "y").toLocalIterator():
         if r.n <= left[r.y]:
             left[r.y] -= r.n
             texts[r.y].append(r._text)

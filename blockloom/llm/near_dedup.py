@@ -30,8 +30,10 @@ BROADCAST_IDS = 500_000
 """Ids of candidates, at most, that are broadcast to pick their texts; more are joined by shuffle."""
 CELL = 4_096
 """Members of one bucket that one group compares; larger buckets are split into a grid of cells."""
-SET_CELL = 512
-"""The same where members bring their full sets."""
+SET_CELL, SET_CELL_BYTES = 512, 32 << 20
+"""The same where members bring their full sets, and about how many bytes of sets they bring."""
+SALT_ROWS = 512
+"""Pairs with one partner that meet its set in one task; more are dealt over several copies of it."""
 _U = np.uint64
 _rng = np.random.default_rng(77)
 _MULTIPLY = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=_U) * _U(2) + _U(1)
@@ -131,8 +133,8 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, BANDS * ROWS)
         keys, n = band_keys(sigs), batch.num_rows
-        ids = batch.column("node").to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), n)), pa.array(np.repeat(ids, BANDS))], names=["key", "band", "node"])
+        ids, sizes = batch.column("node").to_numpy(), batch.column("n_shingles").to_numpy()
+        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), n)), pa.array(np.repeat(ids, BANDS)), pa.array(np.repeat(sizes, BANDS))], names=["key", "band", "node", "n_shingles"])
 
 
 def _sets(k: int):
@@ -269,9 +271,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     source = two_columns(docs, id_col, text_col)
     sketched = written(source.mapInArrow(_sketch(shingle), "_id long, n_shingles long, print binary, sig binary"), "near-sketches")
-    classes = sketched.where("print is not null and _id is not null").groupBy("print").agg(F.min(F.struct("_id", "sig")).alias("m")).select("print", F.col("m._id").alias("node"), F.col("m.sig").alias("sig"))
+    classes = sketched.where("print is not null and _id is not null").groupBy("print").agg(F.min(F.struct("_id", "sig", "n_shingles")).alias("m")).select("print", F.col("m._id").alias("node"), F.col("m.sig").alias("sig"), F.col("m.n_shingles").alias("n_shingles"))
     classes = written(classes, "near-classes")
-    banded = classes.select("node", "sig").mapInArrow(_bands, "key long, band int, node long")
+    banded = classes.select("node", "sig", "n_shingles").mapInArrow(_bands, "key long, band int, node long, n_shingles long")
     hubs = banded.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top"), F.count("*").alias("n")).where("hub < top")
     buckets = written(banded.join(hubs.drop("top"), "key"), "near-buckets")
     ids = written(buckets.select("node").distinct(), "near-candidates")
@@ -280,22 +282,29 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = written(wanted.where("_text is not null").mapInArrow(_sets(shingle), "node long, sig binary, set binary"), "near-sets")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """Pairs (a, b), a being a hub of any number of pairs, that are links: a's signature and set come
+        in as many copies as its pairs need, so that no task gets them all."""
+        pairs = written(pairs, "near-pairs")
+        copies = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("copies"))
+        dealt = pairs.join(copies, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int")).drop("copies")
         side = lambda s: sets.select(F.col("node").alias(s), F.col("sig").alias(f"sig_{s}"), F.col("set").alias(f"set_{s}"))
-        return written(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sig_a", "sig_b", "set_a", "set_b").mapInArrow(_verify(percent, miss), "a long, b long"), name)
+        hubs_ = side("a").join(copies, "a").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+        return written(dealt.join(side("b"), "b").join(hubs_, ["a", "salt"]).select("a", "b", "sig_a", "sig_b", "set_a", "set_b").mapInArrow(_verify(percent, miss), "a long, b long"), name)
 
     # Round one: each candidate and the hub it shares most bands with.
     shared = buckets.where("node != hub").groupBy("node", "hub").count()
     star = shared.groupBy("node").agg(F.max(F.struct("count", (-F.col("hub")).alias("minus"))).alias("m")).select((-F.col("m.minus")).alias("a"), F.col("node").alias("b"))
     edges = verified(star, "near-links")
 
-    def cells(comp: DataFrame, size: int) -> DataFrame:
+    def cells(comp: DataFrame, size: int, set_bytes: int | None = None) -> DataFrame:
         """Members of buckets that hold several components; a cell has at most about ``size`` members
-        and as many outsiders, those not in the bucket's largest component."""
+        (and ``set_bytes`` of their sets) and as many outsiders, those not in the bucket's largest component."""
         rows = buckets.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")).drop("n", "hub")
-        per = rows.groupBy("key", "comp").count()
-        sums = per.groupBy("key").agg(F.max(F.struct("count", (-F.col("comp")).alias("minus"))).alias("m"), F.sum("count").alias("n"), F.count("*").alias("comps")).where("comps > 1")
-        sums = sums.select("key", (-F.col("m.minus")).alias("main"), F.ceil(F.col("n") / size).cast("int").alias("wide"), F.ceil((F.col("n") - F.col("m.count")) / size).cast("int").alias("high"))
-        mixed = rows.join(sums, "key").withColumn("out", F.col("comp") != F.col("main"))
+        per = rows.groupBy("key", "comp").agg(F.count("*").alias("count"), F.sum(F.col("n_shingles") * 8).alias("bytes"))
+        sums = per.groupBy("key").agg(F.max(F.struct("count", (-F.col("comp")).alias("minus"), "bytes")).alias("m"), F.sum("count").alias("n"), F.sum("bytes").alias("bytes"), F.count("*").alias("comps")).where("comps > 1")
+        parts = lambda n, b: (F.greatest(F.ceil(n / size), F.ceil(b / set_bytes)) if set_bytes else F.ceil(n / size)).cast("int")
+        sums = sums.select("key", (-F.col("m.minus")).alias("main"), parts(F.col("n"), F.col("bytes")).alias("wide"), parts(F.col("n") - F.col("m.count"), F.col("bytes") - F.col("m.bytes")).alias("high"))
+        mixed = rows.drop("n_shingles").join(sums, "key").withColumn("out", F.col("comp") != F.col("main"))
         mixed = mixed.withColumn("col", F.pmod(F.xxhash64("node"), F.col("wide")).cast("int")).withColumn("row", F.pmod(F.xxhash64("node", F.lit(1)), F.col("high")).cast("int"))
         as_member = mixed.withColumn("row", F.explode(F.sequence(F.lit(0), F.col("high") - 1))).withColumns({"outside": F.lit(False), "member": F.lit(True)})
         as_out = mixed.where("out").withColumn("col", F.explode(F.sequence(F.lit(0), F.col("wide") - 1))).withColumns({"outside": F.lit(True), "member": F.lit(False)})
@@ -307,10 +316,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     edges = edges.unionByName(verified(best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "near-links"))
     # Round three: all pairs left over, verified where they meet.
     comp = components(edges)
-    last = written(cells(comp, SET_CELL).join(sets, "node").groupBy("key", "row", "col").applyInArrow(_linked(percent / 100, miss, percent), "a long, b long"), "near-links")
+    last = written(cells(comp, SET_CELL, SET_CELL_BYTES).join(sets, "node").groupBy("key", "row", "col").applyInArrow(_linked(percent / 100, miss, percent), "a long, b long"), "near-links")
     if last.limit(1).count():
         comp = components(edges.unionByName(last))
     per_class = classes.select("print", "node").join(comp, "node", "left").select("print", F.coalesce("comp", "node").alias("comp"))
-    rows = sketched.select("_id", "n_shingles", "print").join(per_class, "print", "left")
+    rows = sketched.select("_id", "n_shingles", "print")
+    # Texts without shingles have no print and meet in no join.
+    rows = rows.where("print is not null").join(per_class, "print", "left").select("_id", "n_shingles", "comp").unionByName(rows.where("print is null").select("_id", "n_shingles", F.lit(None).cast("long").alias("comp")))
     component = F.when(F.col("_id").isNotNull(), F.coalesce("comp", "_id"))
     return rows.select(F.col("_id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("_id"), F.lit(True)).alias("kept"))

@@ -6,11 +6,13 @@ executor can reach, so a lost executor never takes a result with it.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from blockloom.schema import shared_dir
 
 BATCH_BYTES = 8 << 20
 """Bytes of one batch of rows that goes to a Python worker."""
@@ -18,17 +20,6 @@ NULL_ID = (1 << 63) - 1
 """Stands for a null id inside packed arrays; it sorts after every other id."""
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is made only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        checkpoint = spark.sparkContext.getCheckpointDir()
-        named = checkpoint or tempfile.mkdtemp(prefix="blockloom-")
-        if not checkpoint:
-            spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/blockloom/{name}-{uuid.uuid4().hex}"
 
@@ -57,12 +48,17 @@ def shuffle_width(spark: SparkSession) -> int:
 
 
 def two_columns(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(_id, _text, carried...) of docs; whatever else docs has, however it is named, is left out."""
+    """(_id, _text, carried...) of docs; whatever else docs has, however it is named, is left out.
+
+    Ids are whole numbers, as ties go to the smaller one; another type is an error before any work is
+    done, and not one of a row in the middle of a job."""
     bound_batches(docs.sparkSession)
     q = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    kind = docs.select(q(id_col)).schema[0].dataType
+    if not isinstance(kind, (T.IntegralType, T.NullType)) and not (isinstance(kind, T.DecimalType) and kind.scale == 0 and kind.precision <= 18):
+        raise TypeError(f"{id_col} must be a whole number, not {kind.simpleString()}: number the rows first")
     return docs.select(q(id_col).cast("long").alias("_id"), q(text_col).cast("string").alias("_text"), *[q(c).alias("_c" + c) for c in carry])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-

@@ -21,6 +21,10 @@ from blockloom.llm.shared import new_path, written
 SEGMENT_BYTES = 1 << 20
 """Payload bytes in one record; a longer payload continues in further records."""
 CHUNK_BYTES = 1 << 16
+FILE_BYTES = 512 << 20
+"""Payload bytes of one archive before compression, at most: a reader holds a file's content at once."""
+SALTS = 16
+"""Parts that rows of one payload are dealt over where repeated payloads are joined by shuffle."""
 BROADCAST_ROWS = 50_000
 """Repeated payloads up to this number are broadcast to the writers; more are joined by shuffle."""
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
@@ -58,7 +62,7 @@ def _header(pairs: list[tuple[str, Column]]) -> Column:
 
 def write_archives(
     pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
-    min_revisit_bytes: int = 0, segment_bytes: int = SEGMENT_BYTES, records_per_file: int = 20_000, date: str = "2024-01-01T00:00:00Z",
+    min_revisit_bytes: int = 0, segment_bytes: int = SEGMENT_BYTES, file_bytes: int = FILE_BYTES, date: str = "2024-01-01T00:00:00Z",
 ) -> None:
     """Writes one record for each row (and continuation records) to gzipped archives under path.
 
@@ -73,7 +77,11 @@ def write_archives(
     groups = rows.where(F.col("n") >= min_revisit_bytes).groupBy("digest").agg(F.max("id").alias("ref"), F.count("*").alias("copies"))
     repeated = written(groups.where("copies > 1 and ref is not null").select("digest", "ref"), "warc-repeats")
     few = repeated.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    rows = rows.join(F.broadcast(repeated) if few else repeated, "digest", "left")
+    if few:
+        rows = rows.join(F.broadcast(repeated), "digest", "left")
+    else:  # one payload, such as the empty one, may be that of a third of all rows
+        dealt = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(SALTS)).cast("int")).join(dealt, ["digest", "salt"], "left").drop("salt")
     revisit = F.col("ref").isNotNull() & F.coalesce(F.col("id") != F.col("ref"), F.lit(True))
     rows = rows.withColumn("revisit", revisit).withColumn("key", F.coalesce(F.col("id").cast("string"), F.concat(F.lit("null-"), F.uuid())))
     segments = F.when(F.col("revisit"), F.lit(1)).otherwise(F.greatest(F.lit(1), F.ceil(F.col("n") / whole)).cast("int"))
@@ -104,6 +112,9 @@ def write_archives(
     ])
     record = F.concat(_binary(lines), F.col("block"), _binary(F.lit("\r\n\r")))  # the sink's line feed ends the record
     out = rows.withColumn("block", block).select(record.cast("string").alias("value"))
+    # No record holds more than the largest payload or segment, so this many stay within file_bytes.
+    largest = pages.agg(F.max(F.octet_length(_binary(q(payload_col))))).first()[0] or 0
+    records_per_file = min(20_000, max(1, file_bytes // max(1, min(whole, largest))))
     out.write.option("compression", "gzip").option("lineSep", "\n").option("maxRecordsPerFile", records_per_file).text(path)
 
 

@@ -90,6 +90,17 @@ def test_stages(spark, tmp_path):
     assert sorted((r.doc_id, r.piece, r.ids_crc32) for r in whole.collect()) == sorted((r.doc_id, r.piece, r.ids_crc32) for r in packed.collect())
 
 
+def test_near_dedup_stage_judges_rows_that_repeat_an_id(spark, tmp_path):
+    rng = random.Random(2)
+    base, alone, other = prose(rng, 80), prose(rng, 80), prose(rng, 80)
+    rows = [(1, base), (5, base), (5, alone), (5, alone), (6, other), (6, other), (None, base), (7, None), (7, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.text) for r in pipeline.near_dedup_stage(spark, docs, str(tmp_path)).collect()), key=str)
+    assert got == sorted([(1, base), (5, alone), (6, other), (7, None), (8, "")], key=str)
+    got = sorted(r.doc_id for r in pipeline.near_dedup_stage(spark, docs.where("doc_id in (1, 8)"), str(tmp_path)).collect())
+    assert got == [1, 8]
+
+
 def test_registered_names():
     import __spark_entry__ as entry
 

@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from samples import documents, edge_rows, prose
 
@@ -203,3 +204,41 @@ def test_bayesian_bounds():
     assert survivors(one, many, 0.8, 1e-7)[0].tolist() == [0, 2]
     a = np.arange(10, dtype=np.uint64)
     assert similar(a, a[:8], 80) and not similar(a, a[:7], 80)
+
+
+def thue_morse(n, letters="ab"):
+    w = letters[0]
+    while len(w) < n:
+        w += w.translate(str.maketrans(letters, letters[::-1]))
+    return w
+
+
+def test_hashes_tell_words_of_mirrored_repeats_apart(spark):
+    """Words and windows that a polynomial hash modulo 2^64 takes for equal, for any of its bases."""
+    from blockloom.llm.decontamination import decontaminate
+    from blockloom.llm.quality_rules import Texts
+
+    one, two = thue_morse(1_024), thue_morse(1_024, "ba")
+    for which in (0, 1):
+        data, offs = K.text_bytes(pa.array([one, two, one[:200], two[:200], " ".join(one), " ".join(two)]))
+        starts, ends, first = K.words(data, offs, K.NOT_SPACE)
+        hashed = K.hash_words(data, starts, ends, which)
+        assert len(set(hashed[:4].tolist())) == 4
+        keys, _, doc = K.window_hashes(hashed, first, 1_024, which)
+        assert len(set(keys.tolist())) == 2 == len(doc)
+    filler = prose(random.Random(4), 30).split()
+    rows = [(1, " ".join([*filler[:6], one, *filler[6:12]])), (2, " ".join([*filler[:6], two, *filler[6:12]])), (3, " ".join([one, two, one, two, one]))]
+    got = substring_dedup(documents(spark, rows), window=13).collect()
+    assert order((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got) == order(brute_words(rows, 13)) and not any(r.n_removed for r in got)
+    near = near_dedup(documents(spark, rows), shingle=4).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near} == brute_components(rows, 4, 80)
+    items = spark.createDataFrame([(1, rows[0][1])], "item_id long, text string")
+    assert {r.doc_id: r.n_hit for r in decontaminate(documents(spark, rows), items).collect()} == {1: 13, 2: 0, 3: 0}
+    assert Texts(*K.text_bytes(pa.array([" ".join([one, "x", "y", two, "x", "y"])]))).repeat_words().tolist() == [0]
+
+
+def test_ids_of_another_type_are_refused_at_once(spark):
+    docs = spark.createDataFrame([("http://a", "text")], "doc_id string, text string")
+    for run in (substring_dedup, suffix_dedup, near_dedup):
+        with pytest.raises(TypeError, match="whole number"):
+            run(docs)
