@@ -16,6 +16,13 @@ def test_imports_without_the_text_subpackage(tmp_path):
     assert said.stdout.strip().endswith("fine"), said.stderr
 
 
+def test_core_queries_stay_where_a_text_library_is_missing(tmp_path):
+    (tmp_path / "zstandard.py").write_text("raise ImportError('no zstandard')")
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 40 and not any(n.startswith('op') for n in q); print('fine')"
+    said = subprocess.run([sys.executable, "-c", code], cwd=ROOT, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": f"{tmp_path}:{ROOT}"}, capture_output=True, text=True)
+    assert said.stdout.strip().endswith("fine"), said.stderr
+
+
 def test_nothing_else_imports_the_text_subpackage():
     for path in (ROOT / "blockloom").rglob("*.py"):
         if "llm" not in path.parts:
