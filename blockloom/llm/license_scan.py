@@ -51,6 +51,8 @@ STEPS = 10
 WORD = "[0-9a-z]+"
 # Words of ordinary prose, which tell nothing about licenses; only speed depends on them.
 PROSE = frozenset("a all an and any are as at be but by can do each for from had has have how if in into is it its may more must no not of on one only or other our out shall so such than that the their them then there these they this those to under up use was we were what when where which who will with would you your".split())
+BROADCAST_ROWS = 200_000
+"""Texts in question, at most, whose numbers are broadcast to pick them; more are joined by shuffle."""
 FEW_TERMS = 130
 """Templates of more terms are looked for by the number of their terms that a text holds."""
 MAX_TERMS = 20_000
@@ -105,6 +107,11 @@ def line_scores(files: DataFrame, templates: dict[str, str], threshold: float) -
     known = F.array(*[F.lit(w) for w in sorted(idf)])
     lines = lines.where(F.lower("line").rlike(one_of({x for w in norm.values() for x in needed(w, threshold)})))
     lines = _once(lines, "terms", F.regexp_extract_all(F.lower("line"), F.lit(WORD), F.lit(0)))
+    # The part of a line that isn't of a template's terms must be short against the part that is: with k
+    # words of known terms their weights make at most k^2 of the largest idf^2, each other word makes one.
+    k = F.size(F.filter("terms", lambda x: F.array_contains(known, x)))
+    others = F.size(F.array_except("terms", known))
+    lines = lines.where(others * (threshold * threshold / (1 - threshold * threshold)) <= k * k + 1e-6)
     lines = _once(lines, "hits", F.array_intersect("terms", known))
     held = []
     for name in sorted(norm):
@@ -196,10 +203,13 @@ def candidates(rows: DataFrame, families: dict[str, dict[str, dict[str, float]]]
     pass_ = low.rlike(one_of(some)) if some else F.lit(False)
     if many:
         pass_ = pass_ | (F.regexp_count(low, F.lit(one_of(many))) >= min(least_many))
-    read = written(rows.where(pass_).select(F.monotonically_increasing_id().alias("_n"), "*", F.regexp_extract_all(low, F.lit(WORD), F.lit(0)).alias("_terms")), "license-reads")
-    hits = read.select("_n", F.explode(F.array_distinct("_terms")).alias("term")).join(_lookup(spark, looked, "term string, fit string, share double, least double"), "term")
+    read = written(rows.where(pass_).select(F.monotonically_increasing_id().alias("_n"), "*"), "license-reads")
+    words = F.regexp_extract_all(low, F.lit(WORD), F.lit(0))
+    hits = read.select("_n", F.explode(F.array_distinct(words)).alias("term")).join(_lookup(spark, looked, "term string, fit string, share double, least double"), "term")
     sums = hits.groupBy("_n", "fit").agg(F.sum("share").alias("share"), F.first("least").alias("least")).where("share >= least")
-    return read.join(sums.groupBy("_n").agg(F.collect_set("fit").alias("_fits")), "_n")
+    fits = written(sums.groupBy("_n").agg(F.collect_set("fit").alias("_fits")), "license-fits")
+    few = fits.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return read.join(F.broadcast(fits) if few else fits, "_n").withColumn("_terms", words)
 
 
 def stretch_scores(texts: DataFrame, family: str, templates: dict[str, str], threshold: float, damped: bool, whole: bool) -> DataFrame:
