@@ -13,6 +13,7 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,40 @@ from blockloom.plans import rd
 from blockloom.schema import FRAMES, ResolutionConfig
 
 
+@dataclass(frozen=True)
+class LabelCoder:
+    """A code for each context of codeword groups: the group of each codeword, and by context the code
+    lengths of all labels (bounded by the contexts of at most 31 groups)."""
+
+    groups: tuple[int, ...]
+    lengths: dict[str, tuple[int, ...]]
+
+    @classmethod
+    def fit(cls, quantised: DataFrame, codebook: np.ndarray, thresholds: list[float]) -> LabelCoder:
+        groups = context.codeword_groups(cluster.codebook_frame(quantised, codebook))
+        codes = entropy.context_code_lengths(context.threshold_histogram(quantised, len(codebook), thresholds, groups))
+        by_context = codes.groupBy("ctx").agg(F.array_sort(F.collect_list(F.struct("symbol", "length"))).alias("ls"))
+        return cls(tuple(r.group for r in groups.orderBy("cid").collect()), {r.ctx: tuple(x.length for x in r.ls) for r in by_context.collect()})
+
+    def bits(self, quantised: DataFrame, thresholds: list[float]) -> DataFrame:
+        """(k, bits) of the labels coded at each threshold; an unseen context has a flat code."""
+        spark = quantised.sparkSession
+        groups = spark.createDataFrame(list(enumerate(self.groups)), "cid int, group int")
+        codes = spark.createDataFrame([(c, s, n) for c, ns in self.lengths.items() for s, n in enumerate(ns)], "ctx string, symbol int, length int")
+        counts = context.threshold_contexts(quantised, thresholds, groups).groupBy("k", "ctx", F.col("label").alias("symbol")).agg(F.count("*").alias("n"))
+        flat = max(1, (len(self.groups) - 1).bit_length())
+        return counts.join(F.broadcast(codes), ["ctx", "symbol"], "left").groupBy("k").agg(F.sum(F.col("n") * F.coalesce("length", F.lit(flat))).alias("bits"))
+
+
+def mask_bits_by_threshold(quantised: DataFrame, thresholds: list[float]) -> DataFrame:
+    """(k, bits) of each threshold's mask under the adaptive binary coder: for few frames, as every
+    threshold is a mask of its own."""
+    steps = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(th)).alias("th")) for k, th in enumerate(thresholds)])
+    rows = quantised.select("frame_id", "bi", "bj", "dmse", F.explode(steps).alias("s"))
+    rows = rows.select((F.col("frame_id") * len(thresholds) + F.col("s.k")).alias("frame_id"), F.col("s.k").alias("k"), "bi", "bj", (F.col("dmse") > F.col("s.th")).alias("coded"))
+    return entropy.mask_stream_bits(context.mask_contexts(rows, "coded", border_aware=True), by=["k"])
+
+
 @dataclass(frozen=True)
 class Stage:
     level: int
@@ -29,6 +64,18 @@ class Stage:
     dims: int
     codebooks: tuple[np.ndarray, ...]
     thresholds: tuple[float, ...]
+    coders: tuple[LabelCoder, ...] = ()
+    """One for each codebook, or none: then labels cost what their Huffman code takes."""
+
+
+def _file(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """A path's file system, which may be any that pyarrow knows, and the path in it."""
+    return pyarrow.fs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path))
+
+
+def _exists(path: str) -> bool:
+    fs, at = _file(path)
+    return fs.get_file_info(at).type == pyarrow.fs.FileType.File
 
 
 @dataclass
@@ -39,17 +86,19 @@ class Model:
 
     def save(self, path: str) -> None:
         kernels = [[[k.matrix.tolist(), k.variances.tolist(), k.mean.tolist()] for k in level] for level in self.transform.kernels] if self.transform else None
-        stages = [[s.level, s.position, s.dims, [b.tolist() for b in s.codebooks], list(s.thresholds)] for s in self.stages]
-        with open(path, "w") as f:
-            json.dump({"kernels": kernels, "stages": stages, "channels": self.transform.channels if self.transform else None}, f)
+        stages = [[s.level, s.position, s.dims, [b.tolist() for b in s.codebooks], list(s.thresholds), [[c.groups, c.lengths] for c in s.coders]] for s in self.stages]
+        fs, at = _file(path)
+        with fs.open_output_stream(at) as f:
+            f.write(json.dumps({"kernels": kernels, "stages": stages, "channels": self.transform.channels if self.transform else None}).encode())
 
     @classmethod
     def load(cls, path: str, config: ResolutionConfig) -> Model:
-        with open(path) as f:
-            raw = json.load(f)
+        fs, at = _file(path)
+        with fs.open_input_stream(at) as f:
+            raw = json.loads(f.read())
         kernels = raw["kernels"] and tuple(tuple(linear.Kernel(*(np.array(x) for x in k)) for k in level) for level in raw["kernels"])
         transform = linear.ChannelTransform(config.windows, config.transform_split, kernels, raw["channels"]) if kernels else None
-        return cls(config, transform, [Stage(a, b, c, tuple(np.array(x) for x in d), tuple(e)) for a, b, c, d, e in raw["stages"]])
+        return cls(config, transform, [Stage(a, b, c, tuple(np.array(x) for x in d), tuple(e), tuple(LabelCoder(tuple(g), {k: tuple(v) for k, v in ls.items()}) for g, ls in coders)) for a, b, c, d, e, coders in raw["stages"]])
 
 
 def quantise(blocks: DataFrame, codebook: np.ndarray, dims: int, th: float | None = None, area: int | None = None) -> DataFrame:
@@ -63,31 +112,46 @@ def quantise(blocks: DataFrame, codebook: np.ndarray, dims: int, th: float | Non
     return layout.skip_mask(out, -1.0 if th is None else th)
 
 
-def fit_stage(blocks: DataFrame, level: int, position: int, k: int, dims: int, lagrange: float, frames: int, rule: rd.RdRule = rd.SPATIAL, sizes=aggregates.doubling_prefixes, rounds: int = 300, area: int | None = None) -> Stage:
-    """A codebook of k words, its nested prefixes by gain, and each one's best skip threshold."""
+def fit_stage(blocks: DataFrame, level: int, position: int, k: int, dims: int, lagrange: float, frames: int, rule: rd.RdRule = rd.SPATIAL, sizes=aggregates.doubling_prefixes, rounds: int = 300, area: int | None = None, context_coder: bool = False) -> Stage:
+    """A codebook of k words, its nested prefixes by gain, and each one's best skip threshold.
+
+    While fitting, labels cost their Huffman code; context_coder fits the context coders for encoding."""
     short = blocks.withColumn("vec", layout.prefix("vec", dims)).withColumn("_key", F.xxhash64("frame_id", "bi", "bj")).persist()
     full = cluster.fit_codebook(short, k, "_key", rounds=rounds)
     short.unpersist()
     labelled = quantise(blocks, full, dims, area=area)
     ranks = [r.cid for r in aggregates.gain_rank(labelled, len(full)).orderBy("rank").collect()]  # k rows
     books = [full[ranks[:n]] for n in sizes(len(full)) if n < len(full)] + [full]
-    thresholds = []
+    thresholds, coders = [], []
     for book in books:
-        grid = rd.rd_grid(quantise(blocks, book, dims, area=area), len(book), frames, lagrange, level, rule)
+        quantised = quantise(blocks, book, dims, area=area).persist()
+        grid = rd.rd_grid(quantised, len(book), frames, lagrange, level, rule).persist()
         thresholds.append(float(rd.best(grid).first().th))
-    return Stage(level, position, dims, tuple(books), tuple(thresholds))
+        if context_coder:
+            coders.append(LabelCoder.fit(quantised, book, [r.th for r in grid.orderBy("k").collect()]))
+        grid.unpersist()
+        quantised.unpersist()
+    return Stage(level, position, dims, tuple(books), tuple(thresholds), tuple(coders))
 
 
 def encode_stage(blocks: DataFrame, stage: Stage, lagrange: float, frames: int, rule: rd.RdRule = rd.SPATIAL, real_mask: bool = False, area: int | None = None) -> tuple[DataFrame, dict]:
     """The cheapest codebook and threshold for these blocks: coded blocks and what the choice costs.
 
-    real_mask adds mask_bits, the mask under the adaptive binary coder; r and the choice keep the estimate."""
-    best, chosen = None, None
+    Labels cost the lesser of their context coder, if the stage has one, and their Huffman code;
+    real_mask (for few frames) takes each threshold's mask under the adaptive binary coder for the
+    estimate, in the choice as in r."""
+    best, chosen, held = None, None, None
     for number, book in enumerate(stage.codebooks):
         quantised = quantise(blocks, book, stage.dims, area=area).persist()
-        top = rd.best(rd.rd_grid(quantised, len(book), frames, lagrange, stage.level, rule)).first()
+        ths = [r.th for r in rd.threshold_grid(quantised.agg(F.max("dmse").alias("max_dmse")), rule).orderBy("k").collect()] if stage.coders or real_mask else []
+        given = {"context_bits": stage.coders[number].bits(quantised, ths) if stage.coders else None, "real_mask_bits": mask_bits_by_threshold(quantised, ths) if real_mask else None}
+        top = rd.best(rd.rd_grid(quantised, len(book), frames, lagrange, stage.level, rule, **given)).first()
         if best is None or top.cost < best["cost"]:
-            best, chosen = {"codebook": number, **top.asDict()}, layout.skip_mask(quantised, top.th)
+            if best:
+                held.unpersist()
+            best, chosen, held = {"codebook": number, **top.asDict()}, layout.skip_mask(quantised, top.th), quantised
+        else:
+            quantised.unpersist()
     if real_mask:
         masked = context.mask_contexts(chosen, "coded", border_aware=True)
         best["mask_bits"] = entropy.mask_stream_bits(masked).first().bits
@@ -118,12 +182,12 @@ def area_of(config: ResolutionConfig, level: int, channels: int) -> int:
     return int(np.prod(config.windows[: level + 1])) ** 2 * channels
 
 
-def fit(frames: DataFrame, config: ResolutionConfig, rounds: int = 300, path: str | None = None) -> Model:
+def fit(frames: DataFrame, config: ResolutionConfig, rounds: int = 300, path: str | None = None, context_coder: bool = False) -> Model:
     """With channel-wise transforms: levels from the coarsest, each with its positions in turn.
 
     With a path the model is saved there after every stage, and stages found there are not fitted again."""
     n = frames.count()
-    model = Model.load(path, config) if path and os.path.exists(path) else Model(config, linear.channel_fit(frames, config.windows, config.transform_split))
+    model = Model.load(path, config) if path and _exists(path) else Model(config, linear.channel_fit(frames, config.windows, config.transform_split))
     known = {(s.level, s.position): s for s in model.stages}
     coeffs = linear.channel_transform(frames, model.transform)
     for level in range(len(config.windows) - 1, -1, -1):
@@ -133,7 +197,7 @@ def fit(frames: DataFrame, config: ResolutionConfig, rounds: int = 300, path: st
             blocks = blocks.persist()  # every round of every stage reads them
             stage = known.get((level, position))
             if stage is None:
-                stage = fit_stage(blocks, level, position, k, dims, config.lagrange, n, rounds=rounds, area=area)
+                stage = fit_stage(blocks, level, position, k, dims, config.lagrange, n, rounds=rounds, area=area, context_coder=context_coder)
                 model.stages.append(stage)
                 if path:
                     model.save(path)

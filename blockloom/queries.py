@@ -240,12 +240,24 @@ def skip_mask_counts(spark, sf_dir):
     return layout.skip_mask(_coded(spark, sf_dir), 50.0).groupBy("label").agg(F.count("*").alias("n"), F.sum(F.col("coded").cast("long")).alias("coded"))
 
 
-_GRID = f"""{_COD}, mx AS (SELECT log2(least(1e5, greatest(10.0, max(dmse)))) / 80 AS aa FROM cod), ths AS (SELECT CAST(k AS INTEGER) AS k, round_even(pow(2.0, aa * k) * 100, 0) / 100 AS th FROM mx, range(80) g(k)),
-tot AS (SELECT count(*) AS n, sum(omse) AS o FROM cod), c AS (SELECT k, th, count(label) AS coded, coalesce(sum(mse), 0) AS m, coalesce(sum(omse), 0) AS o FROM ths LEFT JOIN cod ON dmse > th GROUP BY ALL),
-lc AS (SELECT k, s.label, count(cod.label) AS n FROM ths CROSS JOIN (SELECT unnest(range(16)) AS label) s LEFT JOIN cod ON cod.dmse > th AND cod.label = s.label GROUP BY ALL),
-lb AS (SELECT k, sum(-n * log2((n + 1.0) / t)) AS b FROM (SELECT *, sum(n + 1) OVER (PARTITION BY k) AS t FROM lc) GROUP BY k), f AS (SELECT count(*) AS frames FROM embeddings),
-p AS (SELECT k, th, coded, m, c.o, tot.n, tot.o AS all_o, coded / tot.n AS p FROM c, tot), h AS (SELECT *, CASE WHEN p <= 0 OR p >= 1 THEN 0 ELSE -p * log2(p) - (1 - p) * log2(1 - p) END AS h FROM p),
-g AS (SELECT k, th, coded, (floor(h * n) + 1 + b) / frames AS r, (m + all_o - h.o) / n AS d FROM h JOIN lb USING (k), f), grid AS (SELECT *, d + 1e5 * r / frames / 1048576 * pow(1.3, 5) AS cost FROM g, f)"""
+def _huffman_sql(counts: str, by: str, smooth: int) -> str:
+    """Bits of (by, symbol, n) under the code of n + smooth, by joining the two lightest groups in turn."""
+    pick = "q[1].w + q[2].w AS w, least(q[1].s, q[2].s) AS s, q[1].n + q[2].n AS n"
+    return f"""hq AS (SELECT {by}, list_sort(list({{'w': n + {smooth}, 's': symbol, 'n': n}}) FILTER (n + {smooth} > 0)) AS q FROM {counts} GROUP BY {by}),
+hm({by}, q, bits) AS (SELECT {by}, q, CASE WHEN len(q) = 1 THEN q[1].n ELSE 0 END FROM hq UNION ALL SELECT {by}, list_sort(list_append(q[3:], {{'w': q[1].w + q[2].w, 's': least(q[1].s, q[2].s), 'n': q[1].n + q[2].n}})), bits + q[1].n + q[2].n FROM hm WHERE len(q) > 1),
+hb AS (SELECT {by}, CAST(bits AS BIGINT) AS bits FROM hm WHERE len(q) = 1)"""
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+# Needs cod and ths (k, th): what is coded at each threshold, and its label bits.
+_GRID_HEAD = f"""tot AS (SELECT count(*) AS n, sum(omse) AS o FROM cod), c AS (SELECT k, th, count(label) AS coded, coalesce(sum(mse), 0) AS m, coalesce(sum(omse), 0) AS o FROM ths LEFT JOIN cod ON dmse > th GROUP BY ALL),
+lc AS (SELECT k, s.label AS symbol, count(cod.label) AS n FROM ths CROSS JOIN (SELECT unnest(range(16)) AS label) s LEFT JOIN cod ON cod.dmse > th AND cod.label = s.label GROUP BY ALL), {_huffman_sql('lc', 'k', 1)},
+lb AS (SELECT k, bits AS b FROM hb), f AS (SELECT count(*) AS frames FROM embeddings), p AS (SELECT k, th, coded, m, c.o, tot.n, tot.o AS all_o, coded / tot.n AS p FROM c, tot)"""
+_GRID = _recursive(f"""{_COD}, mx AS (SELECT log2(least(1e5, greatest(10.0, max(dmse)))) / 80 AS aa FROM cod), ths AS (SELECT CAST(k AS INTEGER) AS k, round_even(pow(2.0, aa * k) * 100, 0) / 100 AS th FROM mx, range(80) g(k)), {_GRID_HEAD},
+h AS (SELECT *, CASE WHEN p <= 0 OR p >= 1 THEN 0 ELSE -p * log2(p) - (1 - p) * log2(1 - p) END AS h FROM p), g AS (SELECT k, th, coded, (floor(h * n) + 1 + b) / frames AS r, (m + all_o - h.o) / n AS d FROM h JOIN lb USING (k), f), grid AS (SELECT *, d + 1e5 * r / frames / 1048576 * pow(1.3, 5) AS cost FROM g, f)""")
 
 
 def _grid(spark, sf_dir):

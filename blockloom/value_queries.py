@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from blockloom.functions import color, entropy, metrics
 from blockloom.operators import aggregates, cluster, context, layout, linear, resample
-from blockloom.plans import decode_cost, vq
+from blockloom.plans import decode_cost, rd, vq
 from blockloom.queries import (
-    _ALONG, _BLK, _COD, _CTX, _D2, _DOWN, _LAB, _MASK, _PX, _PX255, _PYRAMID, _RGB, _VEC,
-    _assigned, _block_book, _blocks, _book, _bright, _coded, _contexts, _frames, _mask, _px, _resampled_sql, _rgb, _scaled, _table, _vectors, _weights_sql, query, r6,
+    _ALONG, _BLK, _COD, _CTX, _D2, _DOWN, _GRID_HEAD, _LAB, _MASK, _PX, _PX255, _PYRAMID, _RGB, _VEC,
+    _assigned, _block_book, _blocks, _book, _bright, _coded, _contexts, _frames, _huffman_sql, _mask, _px, _recursive, _resampled_sql, _rgb, _scaled, _table, _vectors, _weights_sql, query, r6,
 )
 from blockloom.schema import shared_dir
 from blockloom.sources import images
@@ -373,18 +373,6 @@ def per_frame_colour_back(spark, sf_dir):
 # Coders.
 
 
-def _huffman_sql(counts: str, by: str, smooth: int) -> str:
-    """Bits of (by, symbol, n) under the code of n + smooth, by joining the two lightest groups in turn."""
-    pick = "q[1].w + q[2].w AS w, least(q[1].s, q[2].s) AS s, q[1].n + q[2].n AS n"
-    return f"""hq AS (SELECT {by}, list_sort(list({{'w': n + {smooth}, 's': symbol, 'n': n}}) FILTER (n + {smooth} > 0)) AS q FROM {counts} GROUP BY {by}),
-hm({by}, q, bits) AS (SELECT {by}, q, CASE WHEN len(q) = 1 THEN q[1].n ELSE 0 END FROM hq UNION ALL SELECT {by}, list_sort(list_append(q[3:], {{'w': q[1].w + q[2].w, 's': least(q[1].s, q[2].s), 'n': q[1].n + q[2].n}})), bits + q[1].n + q[2].n FROM hm WHERE len(q) > 1),
-hb AS (SELECT {by}, CAST(bits AS BIGINT) AS bits FROM hm WHERE len(q) = 1)"""
-
-
-def _recursive(sql: str) -> str:
-    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
-
-
 @query(_recursive(f"{_COD}, hc AS (SELECT bi, CAST(s AS INTEGER) AS symbol, count(label) AS n FROM (SELECT DISTINCT bi FROM cod) CROSS JOIN range(16) r(s) LEFT JOIN cod USING (bi) WHERE label IS NULL OR label = s GROUP BY ALL), hd AS (SELECT a.bi, CAST(s AS INTEGER) AS symbol, coalesce(n, 0) AS n FROM (SELECT DISTINCT bi FROM cod) a CROSS JOIN range(16) r(s) LEFT JOIN hc ON hc.bi = a.bi AND hc.symbol = s), {_huffman_sql('hd', 'bi', 1)} SELECT bi, bits FROM hb"))
 def huffman_by_row(spark, sf_dir):
     """One code a row of blocks, of counts gathered over all frames."""
@@ -453,6 +441,26 @@ def label_bit_strings(spark, sf_dir):
     return rows.mapInPandas(run, "frame_id long, bits string, packed string, wrong int")
 
 
+@query(_recursive(f"""{_COD}, ths AS (SELECT CAST(k AS INTEGER) AS k, k * 100.0 AS th FROM range(800) g(k)), {_GRID_HEAD}, h AS (SELECT *, 2.75 * p + 0.00276 AS h FROM p),
+g AS (SELECT k, th, coded, CASE WHEN coded = 0 THEN 0 ELSE (floor(h * n) + 1 + b) / frames END AS r, (m + all_o - h.o) / n AS d FROM h JOIN lb USING (k), f), grid AS (SELECT *, d + 3e6 * r / 1048576 * pow(1.1, 5) AS cost FROM g, f),
+s AS (SELECT *, max(CAST(cost > last AS INTEGER)) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS risen FROM (SELECT *, lag(cost) OVER (ORDER BY k) AS last FROM grid))
+SELECT k, th, coded, round(r, 6) AS r, round(d, 6) AS d, round(cost, 6) AS cost FROM s WHERE coalesce(risen, 0) = 0 ORDER BY s.cost, k LIMIT 1"""))
+def stepped_thresholds(spark, sf_dir):
+    """The scan of thresholds 0, 100, ... with a Huffman code for each."""
+    out = rd.stepped_search(_coded(spark, sf_dir), 16, _frames(spark, sf_dir).count(), 3e6, 3)
+    return out.select("k", "th", "coded", *[r6(c).alias(c) for c in ("r", "d", "cost")])
+
+
+@query(_recursive(f"""{_CTX.replace('dmse > 20', 'dmse > 50')}, cs AS (SELECT ctx, label, count(*) AS k FROM ctx WHERE coded GROUP BY ALL), hd AS (SELECT c.ctx, CAST(s AS INTEGER) AS symbol, coalesce(k, 0) AS n FROM (SELECT DISTINCT ctx FROM cs) c CROSS JOIN range(16) r(s) LEFT JOIN cs ON cs.ctx = c.ctx AND cs.label = s), {_huffman_sql('hd', 'ctx', 1)} SELECT 0 AS k, CAST(sum(bits) AS BIGINT) AS bits FROM hb"""))
+def label_coder_bits(spark, sf_dir):
+    """A context coder fitted at one threshold, each codeword a group of its own, and what it takes there."""
+    rows = _coded(spark, sf_dir)
+    codes = entropy.context_code_lengths(context.threshold_histogram(rows, 16, [50.0]))
+    by_context = codes.groupBy("ctx").agg(F.array_sort(F.collect_list(F.struct("symbol", "length"))).alias("ls")).collect()
+    coder = vq.LabelCoder(tuple(range(16)), {r.ctx: tuple(x.length for x in r.ls) for r in by_context})
+    return coder.bits(rows, [50.0]).select("k", F.col("bits").cast("long").alias("bits"))
+
+
 # Curves and costs.
 
 # Published points of three models.
