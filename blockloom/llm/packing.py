@@ -394,7 +394,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
         for batch in batches:
             length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
             at = np.searchsorted(keys, length << 40 | rank, "right") - 1
-            made = [batch.column(c) for c in kept] + [pa.array(sequence[at] + rank - first[at]), pa.array(offset[at])] + [_lists(batch.column("raw"))] * ids
+            made = [batch.column(c) for c in kept] + [pa.array(sequence[at] + rank - first[at]), pa.array(offset[at])] + ([_lists(batch.column("raw"))] if ids else [])
             yield pa.RecordBatch.from_arrays(made, names=[*kept, "sequence_id", "offset", *["ids"] * ids])
         K.release()
 

@@ -266,6 +266,8 @@ def test_packing_round_trip(spark):
             at += n
         assert at <= 2048
     assert packing.pack(documents(spark, []).where("false"), tokenizer_path()).count() == 0
+    narrow = packing.pack(documents(spark, rows), tokenizer_path(), ids=False).collect()
+    assert sorted((str(r.doc_id), r.piece, r.length, r.ids_crc32) for r in narrow) == sorted((str(r.doc_id), r.piece, r.length, r.ids_crc32) for r in got)
 
 
 def test_warc_round_trip(spark):
