@@ -98,7 +98,7 @@ def pyramid_joined(spark, sf_dir):
     return _values(resample.pyramid_join(*resample.pyramid_split(_bright(spark, sf_dir))), digits=3)
 
 
-@query(f"{_SPLIT}, c AS (SELECT frame_id, i, j, CAST(CAST(x - x / 4 AS FLOAT) AS DOUBLE) AS x FROM p4), {_resampled_sql('v8', 'c', 'w48')} SELECT frame_id, i, j, round(p8.x - v8.x, 3) + 0.0 AS x FROM p8 JOIN v8 USING (frame_id, i, j)")
+@query(f"{_SPLIT}, c AS (SELECT frame_id, i, j, CAST(CAST(x - x / 4 AS FLOAT) AS DOUBLE) AS x FROM p4), {_resampled_sql('v8', 'c', 'w48')} SELECT frame_id, i, j, round(CAST(CAST(p8.x - v8.x AS FLOAT) AS DOUBLE), 3) + 0.0 AS x FROM p8 JOIN v8 USING (frame_id, i, j)")
 def resolution_loss_values(spark, sf_dir):
     """What a fine size lacks of a coarse one less what was coded of it (a quarter here)."""
     fine = _bright(spark, sf_dir)
@@ -488,13 +488,13 @@ def bd_rate(spark, sf_dir):
     return metrics.bd_table(points, "main").select("model", *[(F.round(c, 4) + 0.0).alias(c) for c in ("bd_psnr", "bd_rate")])
 
 
-_CURVE = "c AS (SELECT DISTINCT round(l_quantity, 4) AS x, round(l_extendedprice / 1000 + l_discount, 4) AS y FROM lineitem WHERE l_orderkey < 30)"
+_CURVE = "c AS (SELECT DISTINCT round(l_quantity, 4) AS x, round(l_extendedprice / 1000 + l_discount, 7) AS y FROM lineitem WHERE l_orderkey < 30)"
 
 
 @query(f"WITH {_CURVE}, e AS (SELECT a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_ FROM c a JOIN c b ON (a.x, a.y) <> (b.x, b.y) JOIN c q ON true GROUP BY ALL HAVING min((b.x - a.x) * (q.y - a.y) - (b.y - a.y) * (q.x - a.x)) >= 0 AND count(*) FILTER ((b.x - a.x) * (q.y - a.y) - (b.y - a.y) * (q.x - a.x) = 0 AND NOT (q.x BETWEEN least(a.x, b.x) AND greatest(a.x, b.x) AND q.y BETWEEN least(a.y, b.y) AND greatest(a.y, b.y))) = 0), v AS (SELECT ax AS x, ay AS y FROM e UNION SELECT bx, by_ FROM e) SELECT x, y FROM v WHERE (x, y) <> (SELECT (x, y) FROM v ORDER BY x, y LIMIT 1)")
 def rd_hull(spark, sf_dir):
     """Corners of the hull of a set of points, the first left out."""
-    rows = _table(spark, sf_dir, "lineitem").where("l_orderkey < 30").select(F.round("l_quantity", 4).alias("x"), F.round(F.col("l_extendedprice") / 1000 + F.col("l_discount"), 4).alias("y")).distinct()
+    rows = _table(spark, sf_dir, "lineitem").where("l_orderkey < 30").select(F.round("l_quantity", 4).alias("x"), F.round(F.col("l_extendedprice") / 1000 + F.col("l_discount"), 7).alias("y")).distinct()
     return spark.createDataFrame(metrics.hull([(r.x, r.y) for r in rows.collect()]), "x double, y double")
 
 
