@@ -7,6 +7,8 @@ executor can reach, so a lost executor never takes a result with it.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,8 +22,27 @@ NULL_ID = (1 << 63) - 1
 """Stands for a null id inside packed arrays; it sorts after every other id."""
 
 
+_SCOPES: list[list[str]] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/blockloom/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/blockloom/{name}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables that operators write inside are deleted at its end; results are read from them lazily, so
+    they must be used or written elsewhere before.  Without a scope the tables stay."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def bound_batches(spark: SparkSession) -> None:

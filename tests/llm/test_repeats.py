@@ -242,3 +242,16 @@ def test_ids_of_another_type_are_refused_at_once(spark):
     for run in (substring_dedup, suffix_dedup, near_dedup):
         with pytest.raises(TypeError, match="whole number"):
             run(docs)
+
+
+def test_tables_of_a_scope_are_deleted(spark):
+    from pathlib import Path
+
+    from blockloom.llm.shared import shared_dir, temporary
+
+    folder = Path(shared_dir(spark).removeprefix("file://")) / "blockloom"
+    before = set(folder.glob("*")) if folder.exists() else set()
+    with temporary(spark):
+        assert near_dedup(documents(spark, [(1, "a b c d e f"), (2, "a b c d e f")])).where("kept").count() == 1
+        assert set(folder.glob("*")) > before
+    assert set(folder.glob("*")) == before
