@@ -32,8 +32,6 @@ CELL = 4_096
 """Members of one bucket that one group compares; larger buckets are split into a grid of cells."""
 SET_CELL, SET_CELL_BYTES = 512, 32 << 20
 """The same where members bring their full sets, and about how many bytes of sets they bring."""
-SALT_ROWS = 512
-"""Pairs with one partner that meet its set in one task; more are dealt over several copies of it."""
 _U = np.uint64
 _rng = np.random.default_rng(77)
 _MULTIPLY = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=_U) * _U(2) + _U(1)
@@ -282,14 +280,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = written(wanted.where("_text is not null").mapInArrow(_sets(shingle), "node long, sig binary, set binary"), "near-sets")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """Pairs (a, b), a being a hub of any number of pairs, that are links: a's signature and set come
-        in as many copies as its pairs need, so that no task gets them all."""
-        pairs = written(pairs, "near-pairs")
-        copies = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("copies"))
-        dealt = pairs.join(copies, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int")).drop("copies")
+        """Pairs (a, b) that are links.  A hub a may have any number of pairs; adaptive execution parts
+        such a key of a sorted join, each part with its own copy of the hub's row."""
         side = lambda s: sets.select(F.col("node").alias(s), F.col("sig").alias(f"sig_{s}"), F.col("set").alias(f"set_{s}"))
-        hubs_ = side("a").join(copies, "a").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
-        return written(dealt.join(side("b"), "b").join(hubs_, ["a", "salt"]).select("a", "b", "sig_a", "sig_b", "set_a", "set_b").mapInArrow(_verify(percent, miss), "a long, b long"), name)
+        return written(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sig_a", "sig_b", "set_a", "set_b").mapInArrow(_verify(percent, miss), "a long, b long"), name)
 
     # Round one: each candidate and the hub it shares most bands with.
     shared = buckets.where("node != hub").groupBy("node", "hub").count()
