@@ -306,10 +306,12 @@ def join_planes(parts: list[DataFrame], side: DataFrame) -> DataFrame:
     return linear.per_frame_pca(whole, inverse=True)
 
 
-def fit_planes(frames: DataFrame, configs: list[ResolutionConfig], rounds: int = 300) -> list[Model]:
-    """One model for each colour component of the frames, the strongest component first."""
+def fit_planes(frames: DataFrame, configs: list[ResolutionConfig], rounds: int = 300, path: str | None = None) -> list[Model]:
+    """One model for each colour component of the frames, the strongest component first.
+
+    With a path each model is saved at path.0, path.1, ... after every stage, and goes on from there."""
     parts, _ = planes(frames)
-    return [fit(part, config, rounds) for part, config in zip(parts, configs, strict=True)]
+    return [fit(part, config, rounds, path and f"{path}.{k}") for k, (part, config) in enumerate(zip(parts, configs, strict=True))]
 
 
 def encode_planes(frames: DataFrame, models: list[Model]) -> tuple[DataFrame, list[list[dict]]]:

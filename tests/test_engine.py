@@ -253,3 +253,44 @@ def test_bd_table_refuses_a_longer_anchor(spark):
     points = spark.range(10_001).selectExpr("'main' AS model", "(id + 1) / 1000 AS bpp", "1000 / (id + 1) AS mse")
     with pytest.raises(ValueError, match="more than 10000 points"):
         metrics.bd_table(points, "main")
+
+
+def test_context_coders_never_cost_more(frames, tmp_path):
+    blocks = layout.unfold(frames, 2)
+    stage = vq.fit_stage(blocks, 0, 0, 6, -1, 1e4, 6, rounds=5, context_coder=True)
+    assert len(stage.coders) == len(stage.codebooks) and all(len(set(c.groups)) <= context.CODEWORD_GROUPS for c in stage.coders)
+    plain = vq.Stage(stage.level, stage.position, stage.dims, stage.codebooks, stage.thresholds)
+    with_coder, without = (vq.encode_stage(blocks, s, 1e4, 6)[1] for s in (stage, plain))
+    assert with_coder["cost"] <= without["cost"] + 1e-9
+    config = ResolutionConfig(16, (2,), 0, 1e4)
+    vq.Model(config, None, [stage]).save(str(tmp_path / "model.json"))
+    back = vq.Model.load(str(tmp_path / "model.json"), config).stages[0]
+    assert back.coders == stage.coders and back.thresholds == stage.thresholds
+
+
+def test_real_mask_bits_enter_the_choice(frames):
+    blocks = layout.unfold(frames, 4)
+    book = cluster.fit_codebook(blocks.withColumn("key", blocks.frame_id * 100 + blocks.bi * 10 + blocks.bj), 4, "key", rounds=3)
+    quantised = vq.quantise(blocks, book, -1)
+    grid = rd.rd_grid(quantised, 4, 6, 1e5, 3).orderBy("k").collect()
+    ths = [r.th for r in grid]
+    mask = {r.k: r.bits for r in vq.mask_bits_by_threshold(quantised, ths).collect()}
+    real = rd.rd_grid(quantised, 4, 6, 1e5, 3, real_mask_bits=vq.mask_bits_by_threshold(quantised, ths)).orderBy("k").collect()
+    one = layout.skip_mask(quantised, ths[5])
+    assert mask[5] == entropy.mask_stream_bits(context.mask_contexts(one, border_aware=True)).first().bits
+    n = quantised.count()
+    for a, b in zip(grid, real):
+        p = a.coded / n
+        h = 0 if p in (0, 1) else -p * np.log2(p) - (1 - p) * np.log2(1 - p)
+        assert abs((b.r - a.r) * 6 - (mask[a.k] - (int(h * n) + 1))) < 1e-6
+
+
+def test_nearest_agrees_with_squared_differences():
+    rng = np.random.default_rng(5)
+    for scale, shift in ((1, 0), (1e-3, 1e3), (1, 1e6)):
+        book = rng.normal(shift, scale, (40, 8))
+        book[7] = book[3]
+        x = np.concatenate([rng.normal(shift, scale, (300, 8)), book, (book[:1] + book[1:2]) / 2])
+        label, d2 = cluster.nearest(x, book)
+        d = ((x[:, None] - book[None]) ** 2).sum(2)
+        assert (d[np.arange(len(x)), label] == d.min(1)).all() and (d2 == d.min(1)).all() and 7 not in label
