@@ -259,21 +259,24 @@ def binary_bits(symbols: Iterable[int]) -> int:
     return bits
 
 
-def mask_stream_bits(contexts: DataFrame, mask: str = "coded", by: list[str] | None = None) -> DataFrame:
+def mask_stream_bits(contexts: DataFrame, mask: str = "coded", by: list[str] | None = None, frames_per_slice: int = 0) -> DataFrame:
     """(by, bits) of a mask coded by one adaptive state per context, all frames in order.
 
     A context's symbols depend on all before them, so each context is one ordered stream: the bits
-    of a stream travel packed per frame, and the coder reads them frame after frame."""
+    of a stream travel packed per frame, and the coder reads them frame after frame.  With
+    frames_per_slice the states begin anew after so many frame ids, which bounds a stream and lets
+    slices be coded side by side, at a few more bits."""
     by = by or []
-    per_frame = contexts.groupBy(*by, "ctx", "frame_id").agg(F.array_sort(F.collect_list(F.struct("bi", "bj", F.col(mask).cast("int").alias("m")))).alias("ms"))
-    packed = per_frame.select(*by, "ctx", "frame_id", F.array_join(F.transform("ms", lambda s: s["m"].cast("string")), "").alias("bits"))
+    sliced = contexts.withColumn("_slice", F.floor(F.col("frame_id") / frames_per_slice) if frames_per_slice else F.lit(0).cast("long"))
+    per_frame = sliced.groupBy(*by, "ctx", "_slice", "frame_id").agg(F.array_sort(F.collect_list(F.struct("bi", "bj", F.col(mask).cast("int").alias("m")))).alias("ms"))
+    packed = per_frame.select(*by, "ctx", "_slice", "frame_id", F.array_join(F.transform("ms", lambda s: s["m"].cast("string")), "").alias("bits"))
     kinds = {f.name: f.dataType.simpleString() for f in contexts.schema}
 
     def count(group: pd.DataFrame) -> pd.DataFrame:
         stream = "".join(group.sort_values("frame_id")["bits"])
         return pd.DataFrame({**{k: [group[k].iloc[0]] for k in by}, "n": [binary_bits(b == "1" for b in stream)]})
 
-    counted = packed.groupBy(*by, "ctx").applyInPandas(count, ", ".join([f"{k} {kinds[k]}" for k in by] + ["n long"]))
+    counted = packed.groupBy(*by, "ctx", "_slice").applyInPandas(count, ", ".join([f"{k} {kinds[k]}" for k in by] + ["n long"]))
     return counted.groupBy(*by).agg(F.sum("n").alias("bits"))
 
 

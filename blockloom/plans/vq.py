@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from blockloom.functions import entropy
 from blockloom.operators import aggregates, cluster, context, layout, linear, resample
 from blockloom.plans import rd
-from blockloom.schema import FRAMES, ResolutionConfig
+from blockloom.schema import FRAMES, ResolutionConfig, saved
 
 
 @dataclass(frozen=True)
@@ -170,7 +170,7 @@ def fit_plain(frames: DataFrame, win: int, k: tuple[int, ...], lagrange: float,
     config = ResolutionConfig(0, (win,), 0, lagrange)
     model = Model(config, None)
     for position, size in enumerate(k):
-        blocks = blocks.persist()
+        blocks = saved(blocks, "stage-blocks")
         stage = fit_stage(blocks, level, position, size, -1, lagrange, n, rd.PLAIN, aggregates.fixed_prefixes)
         model.stages.append(stage)
         blocks = rest_of(encode_stage(blocks, stage, lagrange, n, rd.PLAIN)[0])
@@ -194,7 +194,7 @@ def fit(frames: DataFrame, config: ResolutionConfig, rounds: int = 300, path: st
         area = area_of(config, level, model.transform.channels)
         blocks = coeffs.where(F.col("level") == level).drop("level")
         for position, (k, dims) in enumerate(zip(config.levels[level].clusters, config.levels[level].dims)):
-            blocks = blocks.persist()  # every round of every stage reads them
+            blocks = saved(blocks, "stage-blocks")  # every round of the stage reads them, and no earlier stage runs again
             stage = known.get((level, position))
             if stage is None:
                 stage = fit_stage(blocks, level, position, k, dims, config.lagrange, n, rounds=rounds, area=area, context_coder=context_coder)
@@ -219,7 +219,7 @@ def encode(frames: DataFrame, model: Model, real_mask: bool = False, skip: froze
             coded, choice = encode_stage(blocks, stage, model.config.lagrange, n, rule, real_mask, area)
             bits += choice["r"]
             choices.append({"level": level, "position": stage.position, **choice, "bits_so_far": bits})
-            blocks = rest_of(coded)
+            blocks = saved(rest_of(coded), "stage-rest")
         left = blocks.withColumnRenamed("vec", "rest")
         part = whole.join(left, ["frame_id", "bi", "bj"]).select("frame_id", F.lit(level if model.transform else 0).alias("level"), "bi", "bj", F.zip_with("vec", "rest", lambda a, b: a - b).alias("vec"))
         decoded = part if decoded is None else decoded.unionByName(part)
