@@ -50,6 +50,7 @@ def pack(docs: DataFrame, count: Callable[[pa.RecordBatch], int], name: str) ->
                     out.write_batch(part)
                 yield pa.RecordBatch.from_pydict({"block": pa.array([number], pa.int64()), "n_keys": pa.array([int(count(part))], pa.int64()), "blob": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
                 number += 1
+        K.release()
 
     return written(docs.mapInArrow(packed, "block long, n_keys long, blob binary"), name)
 

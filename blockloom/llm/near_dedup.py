@@ -123,6 +123,7 @@ def _sketch(k: int):
                 sigs = signatures(sets)
                 prints = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), pa.array([s.tobytes() for s in sigs], pa.binary())], names=["_id", "n_shingles", "print", "sig"])
+        K.release()
 
     return sketch
 
@@ -142,6 +143,7 @@ def _sets(k: int):
                 batch = whole.slice(at, 500)
                 found = shingle_sets(*K.text_bytes(batch.column("_text")), k)
                 yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array([s.tobytes() for s in signatures(found)], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], names=["node", "sig", "set"])
+        K.release()
 
     return sets
 

@@ -63,6 +63,7 @@ def flag_repeated(blocks: DataFrame, keys_of, shards: int, n_keys: int, depth: i
                 keys = K.distinct(keys_of(B.unpack(blob.as_py())) >> _U(64 - bits) << _U(64 - bits))
                 edges = B.cuts(keys, shards)
                 yield B.emit([(s, number, K.pack_sorted(keys[a:b] >> _U(64 - bits))) for s, (a, b) in enumerate(zip(edges, edges[1:])) if b > a], sent)
+        K.release()
 
     answer = pa.schema([("block", pa.int64()), ("kind", pa.string()), ("shard", pa.int32()), ("mask", pa.binary())])
 
@@ -188,6 +189,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     [docs_.column(f.name) for f in out_schema] + [pa.array(np.diff(first), pa.int64()), pa.array(n_gone, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.string()), pa.array(full, pa.string())],
                     names=[*out_schema.names, "n_words", "n_removed", "removed", "kept_text", "full_text"],
                 )
+        K.release()
 
     both = B.with_masks(packed, first_masks.unionByName(second_masks)).select("blob", "masks")
     return both.mapInArrow(cut, fields).toDF(id_col, *carry, "n_words", "n_removed", "removed", "kept_text", "full_text")

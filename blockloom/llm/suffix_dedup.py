@@ -406,6 +406,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     [docs_.column(f.name) for f in out_schema] + [pa.array(np.diff(c.offs), pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())],
                     names=[*out_schema.names, "n_bytes", "n_removed", "removed", "kept"],
                 )
+        K.release()
 
     both = B.with_masks(packed, first_masks.unionByName(second_masks)).select("blob", "masks")
     return both.mapInArrow(cut, types).toDF(id_col, *carry, "n_bytes", "n_removed", "removed", "kept")
