@@ -275,7 +275,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = written(classes, "near-classes")
     banded = classes.select("node", "sig", "n_shingles").mapInArrow(_bands, "key long, band int, node long, n_shingles long")
     hubs = banded.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top"), F.count("*").alias("n")).where("hub < top")
-    buckets = written(banded.join(hubs.drop("top"), "key"), "near-buckets")
+    buckets = written(banded.join(hubs.drop("top"), "key"), "near-buckets", gather=True)
     ids = written(buckets.select("node").distinct(), "near-candidates")
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     wanted = source.join(F.broadcast(ids) if few else ids, F.col("_id") == F.col("node"), "left_semi")
@@ -285,7 +285,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         """Pairs (a, b) that are links.  A hub a may have any number of pairs; adaptive execution parts
         such a key of a sorted join, each part with its own copy of the hub's row."""
         side = lambda s: sets.select(F.col("node").alias(s), F.col("sig").alias(f"sig_{s}"), F.col("set").alias(f"set_{s}"))
-        return written(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sig_a", "sig_b", "set_a", "set_b").mapInArrow(_verify(percent, miss), "a long, b long"), name)
+        return written(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sig_a", "sig_b", "set_a", "set_b").mapInArrow(_verify(percent, miss), "a long, b long"), name, gather=True)
 
     # Round one: each candidate and the hub it shares most bands with.
     shared = buckets.where("node != hub").groupBy("node", "hub").count()
@@ -312,7 +312,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     edges = edges.unionByName(verified(best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "near-links"))
     # Round three: all pairs left over, verified where they meet.
     comp = components(edges)
-    last = written(cells(comp, SET_CELL, SET_CELL_BYTES).join(sets, "node").groupBy("key", "row", "col").applyInArrow(_linked(percent / 100, miss, percent), "a long, b long"), "near-links")
+    last = written(cells(comp, SET_CELL, SET_CELL_BYTES).join(sets, "node").groupBy("key", "row", "col").applyInArrow(_linked(percent / 100, miss, percent), "a long, b long"), "near-links", gather=True)
     if last.limit(1).count():
         comp = components(edges.unionByName(last))
     per_class = classes.select("print", "node").join(comp, "node", "left").select("print", F.coalesce("comp", "node").alias("comp"))

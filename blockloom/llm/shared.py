@@ -56,11 +56,15 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table written to the shared folder: later plans start from its files."""
+def written(df: DataFrame, name: str, gather: bool = False) -> DataFrame:
+    """df as a table written to the shared folder: later plans start from its files.
+
+    gather: df is little that wide tasks leave; adaptive execution puts it into as many files as its own
+    size asks for, not one a task.  Each file costs requests to the store, and on a local folder without
+    Hadoop's native library three processes that the executor starts."""
     path = new_path(df.sparkSession, name)
     schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
+    (df.hint("rebalance") if gather else df).write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
 
 

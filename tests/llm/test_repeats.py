@@ -196,6 +196,37 @@ def test_near_dedup_splits_large_buckets(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, 4, 80)
 
 
+def test_near_dedup_gathers_few_links_in_few_files(spark, monkeypatch):
+    from blockloom.llm import near_dedup as module
+
+    files, write = {}, module.written
+
+    def counted(df, name, **how):
+        out = write(df, name, **how)
+        files.setdefault(name, []).append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(module, "written", counted)
+    rng, rows = random.Random(4), []
+    for i in range(1_500):
+        w = [f"u{rng.randrange(10**6)}" for _ in range(2_000 if i < 40 else 20)]
+        rows.append((2 * i, " ".join(w)))
+        if i < 40:
+            w[7] = "changed"
+            rows.append((2 * i + 1, " ".join(w)))
+    wide = {"spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {c: spark.conf.get(c) for c in wide}
+    try:
+        for c, x in wide.items():
+            spark.conf.set(c, x)
+        got = near_dedup(documents(spark, rows), shingle=4).collect()
+    finally:
+        for c, x in before.items():
+            spark.conf.set(c, x)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, 4, 80)
+    assert max(files["near-links"]) == 1 and files["near-buckets"][0] <= 2
+
+
 def test_bayesian_bounds():
     least = least_matches(0.8, 1e-7)
     assert len(least) == 4 and list(least) == sorted(least) and all(m < 0.8 * n for m, n in zip(least, (32, 64, 96, 128)))
